@@ -54,3 +54,8 @@ def word_count(text: Column) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def maybe_broadcast(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows at most ``most_rows`` (narrow) rows; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
