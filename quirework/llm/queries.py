@@ -54,13 +54,19 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_warc, op5_token_counts, op6_sharding, op7_quality, op8_fingerprints, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_warc, op5_token_counts, op6_sharding, op7_quality, op8_fingerprints, op9_ngram_join, op10_mixing)}
 
 
 def queries() -> dict[str, Query]:
