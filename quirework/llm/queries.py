@@ -24,6 +24,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -66,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_warc, op5_token_counts, op6_sharding, op7_quality, op8_fingerprints, op9_ngram_join, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_suffix_dedup, op4_warc, op5_token_counts, op6_sharding, op7_quality, op8_fingerprints, op9_ngram_join, op10_mixing)}
 
 
 def queries() -> dict[str, Query]:
