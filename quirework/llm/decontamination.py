@@ -20,10 +20,10 @@ rows have rows of their own; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import maybe_broadcast, save
 from .numtext import chunks, folded, mixed, raw
 
 SIMILARITY = 0.8
@@ -200,6 +200,6 @@ def _against(docs: DataFrame, rows: list, similarity: float) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, all columns, without those that hold an item; null doc_ids are matched with each other."""
-    bad = contaminated(docs, benchmark, similarity).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("contaminated_doc")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(-(2**63))) == bad["contaminated_doc"], "left_anti")
+    """The documents, all columns, without those (all rows of a doc_id) that hold an item."""
+    bad = save(contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("contaminated_doc")).distinct(), "dc-bad")
+    return docs.join(maybe_broadcast(bad), docs["doc_id"].eqNullSafe(bad["contaminated_doc"]), "left_anti")

@@ -159,3 +159,13 @@ def hash_key(*parts: int) -> int:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Words each document gives to the mix."""
     return Mix(docs, **options).taken()
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as whole documents, all columns: each as often as the mix takes its words (rounded up or down by a hash, without bias); none that it doesn't take."""
+    made = Mix(docs, **options)
+    share = made.taken().groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("share"))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(made.seed)), F.lit(1 << 20)) / float(1 << 20)
+    times = share.select(F.col("doc_id").alias("mix_doc"), F.floor(F.coalesce("share", F.lit(0.0)) + chance).cast("int").alias("mix_times")).filter("mix_times > 0")
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["mix_doc"]))
+    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*[docs[c] for c in docs.columns])

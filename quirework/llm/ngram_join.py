@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import maybe_broadcast, save
 from .components import components
 from .numtext import LOWER, chunks, cumulative, mixed, span_hashes, word_spans
 
@@ -292,6 +292,10 @@ def linked(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> D
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of linked ones stays (the smallest doc_id), and all that link with nothing; one row of repeated ids."""
-    kept = linked(docs, k, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == kept["kept_id"], "left_semi")
+    """One document of each group of linked ones stays (the smallest doc_id), and all that link with nothing; of equal doc_ids one row."""
+    found = save(linked(docs, k, percent), "nj-found")
+    away = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("near_copy")).distinct()
+    kept = docs.join(maybe_broadcast(away), docs["doc_id"].eqNullSafe(away["near_copy"]), "left_anti")
+    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept

@@ -54,9 +54,9 @@ def shard_names(n: int = SHARDS) -> list[str]:
     return [f"shard-{i:05d}" for i in range(n)]
 
 
-def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, table_size: int = TABLE_SIZE) -> DataFrame:
-    """(key, slot, shard) for every row."""
+def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, table_size: int = TABLE_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, slot, shard) for every row."""
     owner = lookup_table(shard_names(shards), table_size)
     table = docs.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(owner)], "slot_ int, shard int")
-    keyed = docs.select(F.col(key), slot_of(F.col(key), table_size).alias("slot"))
-    return keyed.join(F.broadcast(table), keyed["slot"] == table["slot_"]).select(key, "slot", "shard")
+    keyed = docs.select(F.col(key), *keep, slot_of(F.col(key), table_size).alias("slot"))
+    return keyed.join(F.broadcast(table), keyed["slot"] == table["slot_"]).select(key, *keep, "slot", "shard")
