@@ -27,7 +27,7 @@ from .common import maybe_broadcast, save
 from .numtext import chunks, folded, mixed, raw
 
 SIMILARITY = 0.8
-STEPS, SAMPLED, EARLY, REPEATS = 40, 14, 6, 3
+STEPS, SAMPLED, EARLY, REPEATS = 44, 17, 7, 7
 SHORT = 32
 #: Bytes of item text in one block.
 BLOCK_BYTES = 4_000_000
