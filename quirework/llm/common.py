@@ -59,3 +59,11 @@ def parallelism(spark: SparkSession) -> int:
 def maybe_broadcast(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``most_rows`` (narrow) rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage, with which Spark drops shuffle files and broadcasts that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, save
+from .common import maybe_broadcast, release, save
 from .numtext import chunks
 
 ORDER = 5
@@ -136,11 +136,10 @@ def score(docs: DataFrame, table: DataFrame) -> DataFrame:
     spark, out = docs.sparkSession, []
     for keys in shards:
         lo, hi = (keys[0], keys[-1]) if keys else (0, 0xFFFF)
-        pdf = keyed.filter(F.col("k").between(lo, hi) | (F.col("k") == -1)).drop("k").toPandas()
-        arrays = {}
-        for (level, context), part in pdf.groupby(["level", "is_context"]):
-            part = part.sort_values("g")
-            arrays[int(level), bool(context)] = (part.g.to_numpy(), part.value.to_numpy())
+        part = keyed.filter(F.col("k").between(lo, hi) | (F.col("k") == -1)).select("level", "is_context", "g", F.col("value").cast("float").alias("value"))
+        arrays = _arrays(part.toArrow())
+        del part
+        release(spark)
         first = shards[0] is keys
         out.append(_score_shard(docs, spark.sparkContext.broadcast(arrays), lo if not first else 0, 0xFFFF if keys is shards[-1] else hi))
     if len(out) == 1:
@@ -149,6 +148,17 @@ def score(docs: DataFrame, table: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out).groupBy("doc_id", "lang", "n_bytes", "text_hash").agg((F.sum("nats") * len(out) / F.count("*")).alias("nats"), (F.count("*") / len(out)).alias("times")).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
 
 
+def _arrays(table) -> dict:
+    """Sorted n-grams and their values, by (order, whether contexts)."""
+    kind = table.column("level").to_numpy() * 2 + table.column("is_context").to_numpy().astype(np.int64)
+    g, value, out = table.column("g").to_numpy(), table.column("value").to_numpy(), {}
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        at = at[np.argsort(g[at])]
+        out[int(k) // 2, bool(k % 2)] = (g[at], value[at])
+    return out
+
+
 def log_probabilities(unique: np.ndarray, arrays: dict) -> np.ndarray:
     """Of 5-grams, by the longest known end of each and the backoff weights of the contexts above it."""
     out = np.zeros(len(unique))
@@ -222,3 +232,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     return joined.select(
         "doc_id", "lang", "n_bytes", F.exp("entropy").alias("perplexity"), F.exp((limit + 1) / STEPS).alias("threshold"), F.coalesce(step <= limit, F.lit(True)).alias("accepted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """The documents, all columns, without those that are rejected (a doc_id goes if all its rows are rejected)."""
+    judged = save(classify(docs, labels, quantile).select("doc_id", "accepted"), "kn-judged")
+    bad = judged.groupBy("doc_id").agg(F.bool_or("accepted").alias("any")).filter("not any").select(F.col("doc_id").alias("rejected_doc"))
+    return docs.join(maybe_broadcast(bad), docs["doc_id"].eqNullSafe(bad["rejected_doc"]), "left_anti")
