@@ -28,7 +28,7 @@ MAX_GROUPS = 200_000
 
 def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION, k: int = SHINGLE_WORDS) -> DataFrame:
     """Add ``out``, the sorted array of retained hashes of column ``text``."""
-    limit = -(2**63) + int(2**64 * fraction)
+    last = -(2**63) + int(2**64 * fraction) - 1
     words, hashes, shingles, kept = (f"{out}_{x}" for x in ("words", "hashes", "all", "kept"))
     h = F.col(hashes)
     return (
@@ -40,7 +40,7 @@ def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION,
             .when(F.size(h) > 0, F.array(F.xxhash64(F.array_join(F.col(words), " "))))
             .otherwise(F.array().cast("array<bigint>")),
         )
-        .withColumn(kept, F.filter(F.col(shingles), lambda x: x < F.lit(limit)))
+        .withColumn(kept, F.filter(F.col(shingles), lambda x: x <= F.lit(last)))
         .withColumn(out, F.when((F.size(kept) == 0) & (F.size(shingles) > 0), F.array(F.array_min(shingles))).otherwise(F.array_sort(F.array_distinct(kept))))
         .drop(words, hashes, shingles, kept)
     )
