@@ -43,7 +43,7 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     """Levenshtein similarity from 0 to 1; two empty texts are alike."""
     a, b = _c(a), _c(b)
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.try_divide(F.levenshtein(a, b), longest))
 
 
 def signatures_match(a: Column | str, b: Column | str) -> Column:
@@ -98,7 +98,7 @@ def percent(x: Column) -> Column:
 def drift_reason(original: Column | str, corrected: Column | str) -> Column:
     """Why a correction is refused; null if it looks like a repair."""
     a, b = trim_all(original), trim_all(corrected)
-    drift = F.abs(F.length(b) - F.length(a)) / F.length(a)
+    drift = F.try_divide(F.abs(F.length(b) - F.length(a)), F.length(a))
     alike = similarity(a, b)
     return (
         F.when(b == "", "empty")
