@@ -80,7 +80,7 @@ def draw_counts(quotas: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
             got += np.minimum(rng.multinomial(short, room / room.sum()), room)
         rows.append(got)
         left -= got
-    return np.array(rows, dtype=np.int64).reshape(-1, len(quotas))
+    return np.array(rows, dtype=np.int64) if rows else np.zeros((0, len(quotas)), np.int64)
 
 
 class Mix:
@@ -164,7 +164,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as whole documents, all columns: each as often as the mix takes its words (rounded up or down by a hash, without bias); none that it doesn't take."""
     made = Mix(docs, **options)
-    share = made.taken().groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("share"))
+    share = made.taken().groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(made.seed)), F.lit(1 << 20)) / float(1 << 20)
     times = share.select(F.col("doc_id").alias("mix_doc"), F.floor(F.coalesce("share", F.lit(0.0)) + chance).cast("int").alias("mix_times")).filter("mix_times > 0")
     joined = docs.join(times, docs["doc_id"].eqNullSafe(times["mix_doc"]))
