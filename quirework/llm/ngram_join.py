@@ -29,6 +29,7 @@ doc_id reachable; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -36,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, save
+from .common import maybe_broadcast, release, save
 from .components import components
 from .numtext import LOWER, chunks, cumulative, mixed, span_hashes, word_spans
 
@@ -76,14 +77,14 @@ def boundary(percent: int = PERCENT, limit: int = 64) -> int:
     return best
 
 
-def shingle_sets(column, k: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text."""
-    out = []
-    for _, _, data, at in chunks(column):
+def shingle_sets(column, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sorted distinct 64-bit shingle hashes of each text) for runs of texts of bounded size."""
+    for lo, _, data, at in chunks(column):
+        out: list[np.ndarray] = []
         starts, ends, row = word_spans(data, at)
         n = len(at) - 1
         if not len(starts):
-            out += [np.zeros(0, np.int64)] * n
+            yield lo, [np.zeros(0, np.int64)] * n
             continue
         words = span_hashes(cumulative(LOWER[data]), starts, ends)
         first = np.searchsorted(row, np.arange(n + 1))
@@ -103,7 +104,7 @@ def shingle_sets(column, k: int) -> list[np.ndarray]:
                 out.append(x.view(np.int64))
             else:
                 out.append(np.zeros(0, np.int64))
-    return out
+        yield lo, out
 
 
 def ordered(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -131,17 +132,16 @@ def _subset_key(some: tuple[int, ...]) -> int:
 _ALL = 2**64 - 1
 
 
-def keys_of(elements: np.ndarray, frequent: np.ndarray, percent: int, small: int) -> list[tuple[int, int, int]]:
-    """(key, position, kind) of a set's candidates: kind 1 subsets, 0 elements of its prefix."""
+def keys_of(elements: np.ndarray, frequent: np.ndarray, percent: int, small: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(keys, positions, kind) of a set's candidates: kind 1 subsets, 0 elements of its prefix."""
     s, out = len(elements), []
-    if s and s <= small:
-        for c in subset_sizes(s, percent):
-            for some in combinations(elements.tolist(), c):
-                out.append((_subset_key(some), 0, 1))
+    if 0 < s <= small:
+        keys = np.array([_subset_key(some) for c in subset_sizes(s, percent) for some in combinations(elements.tolist(), c)], np.int64)
+        out.append((keys, np.zeros(len(keys), np.int64), 1))
     # Small sets stay in the lists if a large set can be their partner.
     if s > small or 100 * s >= percent * (small + 1):
-        p = prefix_length(s, percent)
-        out += [(int(e), i, 0) for i, e in enumerate(ordered(elements, frequent)[:p])]
+        keys = ordered(elements, frequent)[: prefix_length(s, percent)]
+        out.append((keys, np.arange(len(keys)), 0))
     return out
 
 
@@ -156,8 +156,9 @@ class Join:
 
         def run(batches):
             for batch in batches:
-                if batch.num_rows:
-                    yield from each(batch.column("doc_id").to_numpy(zero_copy_only=False), shingle_sets(batch.column("text"), k))
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                for lo, sets in shingle_sets(batch.column("text"), k):
+                    yield from each(ids[lo : lo + len(sets)], sets)
 
         return texts.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -176,18 +177,19 @@ class Join:
 
             names = ["doc_id", "n", "a", "b", "kind"]
             for batch in batches:
-                sets = shingle_sets(batch.column("text"), k)
-                signed = [signature(s) for s in sets]
-                prefixes = [s[: prefix_length(len(s), percent)] for s in sets if len(s)]
-                if prefixes:
-                    u, n = np.unique(np.concatenate(prefixes), return_counts=True)
-                    pieces.append((u, n.astype(np.int64)))
-                    held += len(u)
-                    if held > 3_000_000:
-                        # Of what is summed up so far, elements seen once wait no longer; frequent ones come again.
-                        u, n = counted()
-                        pieces, held = [(u[n > 1], n[n > 1])], int((n > 1).sum())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in signed], pa.int64()), pa.array([y for _, y in signed], pa.int64()), pa.array(np.zeros(len(sets), np.int8))], names=names)
+                for lo, sets in shingle_sets(batch.column("text"), k):
+                    signed = [signature(s) for s in sets]
+                    prefixes = [s[: prefix_length(len(s), percent)] for s in sets if len(s)]
+                    if prefixes:
+                        u, n = np.unique(np.concatenate(prefixes), return_counts=True)
+                        pieces.append((u, n.astype(np.int64)))
+                        held += len(u)
+                        if held > 1_000_000:
+                            # Of what is summed up so far, elements seen once wait no longer; frequent ones come again.
+                            u, n = counted()
+                            pieces, held = [(u[n > 1], n[n > 1])], int((n > 1).sum())
+                    ids = batch.column("doc_id").slice(lo, len(sets)).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in signed], pa.int64()), pa.array([y for _, y in signed], pa.int64()), pa.array(np.zeros(len(sets), np.int8))], names=names)
             if pieces:
                 u, n = counted()
                 u, n = u[n > FREQUENT], n[n > FREQUENT]
@@ -220,9 +222,11 @@ class Join:
         def each(ids, sets):
             import pyarrow as pa
 
-            got = [(int(i), len(s), *key) for i, s in zip(ids, sets) for key in keys_of(s, heavy, percent, small)]
+            got = [(doc, len(s), *part) for doc, s in zip(ids.tolist(), sets) for part in keys_of(s, heavy, percent, small)]
             if got:
-                doc, n, key, at, kind = (np.array(x, np.int64) for x in zip(*got))
+                sizes = [len(keys) for _, _, keys, _, _ in got]
+                key, at = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
+                doc, n, kind = (np.repeat(np.array([g[i] for g in got], np.int64), sizes) for i in (0, 1, 4))
                 # Place and size in one number: fewer bytes to shuffle.
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(n << 24 | at << 1 | kind)], names=["key", "doc", "what"])
 
@@ -234,11 +238,14 @@ class Join:
             shared.select("key", "doc", "hub", F.shiftright("what", 24).alias("n"), F.shiftright("what", 1).bitwiseAND(F.lit((1 << 23) - 1)).alias("at"), F.col("what").bitwiseAND(F.lit(1)).alias("kind")).distinct(),
             "nj-shared",
         )
-        several = shared.filter("doc <> hub")
-        wanted = several.select("doc").unionByName(several.select(F.col("hub").alias("doc"))).distinct()
-        sets = save(self._sets(self.docs.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")), "nj-sets")
+        del entries, lists
+        release(self.docs.sparkSession)
+        prefixes = save(
+            shared.groupBy("doc").agg(F.collect_set(F.when(F.col("kind") == 0, F.col("key"))).alias("keys"), F.min("n").alias("least"), F.max("n").alias("most")),
+            "nj-prefixes",
+        )
         # The first round's hub is a list's least doc.
-        links = self._verified(several.select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct(), sets, "nj-links-0")
+        links = self._verified(shared.filter("doc <> hub").select(F.col("hub").alias("u"), F.col("doc").alias("v")), prefixes, "nj-links-0")
         seen = links
         for r in range(1, HUB_ROUNDS + 1):
             labelled = self._labelled(shared, seen, r)
@@ -258,7 +265,7 @@ class Join:
                     two,
                     (F.col("key") == F.col("key_2")) & (F.col("label") < F.col("label_2")) & (100 * low >= percent * high) & ((100 + percent) * overlap >= percent * (F.col("n") + F.col("n_2"))),
                 ).select(F.least("doc", "doc_2").alias("u"), F.greatest("doc", "doc_2").alias("v"))
-            more = self._verified(pairs.distinct(), sets, f"nj-links-{r}")
+            more = self._verified(pairs, prefixes, f"nj-links-{r}")
             seen = seen.unionByName(more)
         return seen
 
@@ -271,19 +278,42 @@ class Join:
         def each(ids, sets):
             import pyarrow as pa
 
-            step = 500
-            for i in range(0, len(ids), step):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + step]), pa.array([s.tolist() for s in sets[i : i + step]], pa.list_(pa.int64()))], names=["id", "elements"])
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), listed], names=["id", "elements"])
 
         # A doc_id with several sets has the rows of all; links then hold for any of them.
         return self._scan(texts, each, "id long, elements array<long>")
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    def _possible(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+        """Pairs whose sizes and prefixes allow a link.
+
+        What two sets share beyond the elements in both prefixes is in the rest of the
+        one whose prefix ends first, so that is at most the longer rest. This holds for
+        sets whose prefixes are listed; those that go by subsets alone pass.
+        """
+        percent = self.percent
+        of = lambda i: prefixes.select(F.col("doc").alias(f"doc{i}"), F.col("keys").alias(f"keys{i}"), F.col("least").alias(f"least{i}"), F.col("most").alias(f"most{i}"))
+        d = pairs.distinct().join(of(1), F.col("u") == F.col("doc1")).join(of(2), F.col("v") == F.col("doc2"))
+        sized = (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
+        rest = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")
+        most = F.size(F.array_intersect("keys1", "keys2")) + F.greatest(rest("most1"), rest("most2"))
+        enough = (100 + percent) * most >= percent * (F.col("least1") + F.col("least2"))
+        small = (F.col("least1") <= self.small) | (F.col("least2") <= self.small)
+        return d.filter(sized & (small | enough)).select("u", "v")
+
+    def _verified(self, pairs: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
+        """Pairs that link, by their whole sets, which are made of the texts of possible pairs only."""
+        pairs = save(self._possible(pairs, prefixes), f"{name}-possible")
+        wanted = maybe_broadcast(save(pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct(), f"{name}-wanted"))
+        sets = save(self._sets(self.docs.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")), f"{name}-sets")
         one, two = sets.select(F.col("id").alias("id1"), F.col("elements").alias("e1")), sets.select(F.col("id").alias("id2"), F.col("elements").alias("e2"))
         joined = pairs.join(one, F.col("u") == F.col("id1")).join(two, F.col("v") == F.col("id2"))
         shared = F.size(F.array_intersect("e1", "e2"))
         union = F.size("e1") + F.size("e2") - shared
-        return save(joined.filter((F.size("e1") > 0) & (100 * shared >= self.percent * union)).select("u", "v").distinct(), name)
+        links = save(joined.filter((F.size("e1") > 0) & (100 * shared >= self.percent * union)).select("u", "v").distinct(), name)
+        release(self.docs.sparkSession)
+        return links
 
 
 def linked(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
