@@ -32,6 +32,8 @@ QUANTILE = 0.99
 STEPS = 2000
 #: Rows of the model that one task holds.
 SHARD_ROWS = 4_000_000
+#: Bytes of text that a task works on at a time.
+TASK_BYTES = 1 << 20
 
 
 def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -61,14 +63,14 @@ def count_grams(texts: DataFrame) -> DataFrame:
             return k, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
 
         for batch in batches:
-            for _, _, data, at in chunks(batch.column("text")):
+            for _, _, data, at in chunks(batch.column("text"), TASK_BYTES):
                 k, c = np.unique(grams(data, at), return_counts=True)
                 keys.append(k)
                 counts.append(c.astype(np.int64))
                 held += len(k)
-                if held > 4_000_000:
+                if held > 1_500_000:
                     k, c = merge()
-                    keys, counts, held = [k], [c], 0 if len(k) < 2_000_000 else -len(k)
+                    keys, counts, held = [k], [c], 0
         if keys:
             k, c = merge()
             for a in range(0, len(k), 200_000):
@@ -191,7 +193,7 @@ def _score_shard(docs: DataFrame, shared, lo: int, hi: int) -> DataFrame:
         for batch in batches:
             n = len(batch.column("text"))
             nats, size, mark = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for a, b, data, at in chunks(batch.column("text")):
+            for a, b, data, at in chunks(batch.column("text"), TASK_BYTES):
                 size[a:b] = np.diff(at)
                 if not len(data):
                     continue
