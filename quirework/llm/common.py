@@ -64,6 +64,9 @@ def maybe_broadcast(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Collect garbage, with which Spark drops shuffle files and broadcasts that nothing refers to any more."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Spark's cleaner works after a collection, and what it drops may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

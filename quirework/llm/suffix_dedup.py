@@ -3,7 +3,7 @@
 Every byte covered by a ``LENGTH``-byte string that also starts earlier (smaller
 doc_id, or earlier in the document) is removed.
 
-Strings that can be equal are brought together by content. Of a string's 24-byte
+Strings that can be equal are brought together by content. Of a string's 40-byte
 parts the one of least hash is its anchor; the strings round one occurrence of an
 anchor make one piece of at most 176 bytes. Equal strings have equal anchors, so only
 pieces whose anchor occurs twice are compared. Equal pieces are one, with the first
@@ -13,8 +13,9 @@ the right, into the Burrows-Wheeler transform and updates common prefixes with i
 the columns are read and written in sequence, in files where they exceed memory.
 Neighbours with a common prefix of ``LENGTH`` are equal strings.
 
-An anchor with very many different contexts (a common line) is dealt out string by
-string instead, so no bucket grows with its frequency.
+An anchor with more than ``MAX_PIECES`` different contexts (a common line) is dealt
+out string by string instead: its equal strings meet by hash, with partial minima, so
+no bucket grows with its frequency.
 
 Defined results: a null text is empty, with the hash of no bytes; texts shorter than
 ``LENGTH`` stay as they are; a null doc_id comes before all others; equal rows are
@@ -34,14 +35,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import maybe_broadcast, release, save
 from .numtext import CHUNK, cumulative, mixed, raw, span_hashes
 
 LENGTH = 100
-PART = 24
-#: A task tells of anchors that it sees in more different pieces than this.
-FREQUENT = 8
-MAX_FREQUENT = 200_000
+PART = 40
+#: Different pieces of one anchor above which its strings are dealt out one by one.
+MAX_PIECES = 10_000
 #: Bytes of pieces in one collection; symbols above which its columns are files.
 BUCKET_BYTES = 1_000_000
 IN_MEMORY = 32_000_000
@@ -49,7 +49,7 @@ NO_ID = -(2**63)
 _PLACE = 22
 
 
-def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, part: int = PART, frequent: np.ndarray | None = None):
+def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, part: int = PART):
     """(row, start, n_bytes, anchor, piece) of all pieces of the texts that lie end to end in ``data``."""
     out = [[] for _ in range(5)]
     step = CHUNK
@@ -60,7 +60,7 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, part: int =
         # A long text alone is taken in stretches of string starts.
         for s in range(a, max(b - length + 1, a + 1), step) if hi == lo + 1 else (a,):
             e = min(b, s + step + length - 1) if hi == lo + 1 else b
-            got = _stretch(data[s:e], np.clip(at[lo : hi + 1], s, e) - s, length, part, frequent)
+            got = _stretch(data[s:e], np.clip(at[lo : hi + 1], s, e) - s, length, part)
             if got is not None:
                 row, start, n, anchor, piece = got
                 for x, y in zip(out, (row + lo, start + s - at[row + lo], n, anchor, piece)):
@@ -69,7 +69,7 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, part: int =
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
-def _stretch(data, at, length, part, frequent):
+def _stretch(data, at, length, part):
     n = len(data)
     if n < length:
         return None
@@ -95,14 +95,6 @@ def _stretch(data, at, length, part, frequent):
     last = np.append(first[1:], len(starts)) - 1
     begin, end = starts[first], starts[last] + length
     anchor = hashes[anchor_at[first]]
-    if frequent is not None and len(frequent):
-        where = np.minimum(np.searchsorted(frequent, anchor.view(np.int64)), len(frequent) - 1)
-        hot = frequent[where] == anchor.view(np.int64)
-        if hot.any():
-            times = (last - first + 1)[hot]
-            alone = np.repeat(begin[hot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            own = mixed(span_hashes(sums, alone, alone + length) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-            begin, end, anchor = np.concatenate([begin[~hot], alone]), np.concatenate([end[~hot], alone + length]), np.concatenate([anchor[~hot], own])
     return row[begin], begin, end - begin, anchor.view(np.int64), span_hashes(sums, begin, end).view(np.int64)
 
 
@@ -218,46 +210,23 @@ class Repeats:
         self.docs = docs
 
     def _scan(self, each, schema: str) -> DataFrame:
-        length, part = self.length, self.part
-
         def run(batches):
             yield from each((b.column("doc").to_numpy(zero_copy_only=False), *raw(b.column("text"))) for b in batches if b.num_rows)
 
-        del length, part
-        return self.docs.mapInArrow(run, schema)
-
-    def frequent(self) -> np.ndarray:
-        """Anchors that a task sees in many different pieces."""
-        length, part = self.length, self.part
-
-        def each(batches):
-            import pyarrow as pa
+        # Documents equal to an earlier one take no part: every string of theirs starts in that one.
+        firsts = self.firsts().withColumnRenamed("digest", "digest_f")
+        copies = self.rows.join(firsts, F.col("digest") == F.col("digest_f")).filter("doc <> first").select(F.col("doc").alias("copy")).distinct()
+        copies = maybe_broadcast(save(copies, "sd-copies"))
+        return self.docs.join(copies, F.col("doc") == F.col("copy"), "left_anti").mapInArrow(run, schema)
 
-            held = []
-            for _, data, at in batches:
-                _, _, _, anchor, piece = segments(data, at, length, part)
-                held.append(np.stack([anchor, piece]))
-                if sum(x.shape[1] for x in held) > 2_000_000:
-                    held = [np.unique(np.concatenate(held, axis=1), axis=1)]
-            if held:
-                pairs = np.concatenate(held, axis=1)
-                order = np.lexsort((pairs[1], pairs[0]))
-                pairs = pairs[:, order]
-                other = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)) if pairs.shape[1] else np.zeros(0, bool)
-                u, n = np.unique(pairs[0][other], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u[n > FREQUENT]), pa.array(n[n > FREQUENT].astype(np.int64))], names=["anchor", "n"])
-
-        found = self._scan(each, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "anchor").limit(MAX_FREQUENT)
-        return np.sort(np.array([r.anchor for r in found.select("anchor").collect()], np.int64))
-
-    def pieces(self, frequent: np.ndarray) -> DataFrame:
+    def pieces(self) -> DataFrame:
         length, part = self.length, self.part
 
         def each(batches):
             import pyarrow as pa
 
             for doc, data, at in batches:
-                row, start, n, anchor, piece = segments(data, at, length, part, frequent)
+                row, start, n, anchor, piece = segments(data, at, length, part)
                 for a in range(0, len(row), 200_000):
                     s = slice(a, a + 200_000)
                     yield pa.RecordBatch.from_arrays([pa.array(anchor[s]), pa.array(piece[s]), pa.array(doc[row[s]]), pa.array(start[s] << 10 | n[s])], names=["anchor", "piece", "doc", "span"])
@@ -266,31 +235,21 @@ class Repeats:
 
     def spans(self) -> DataFrame:
         """(doc, start, end) of removed strings; they overlap. Documents equal to an earlier one aren't in it."""
-        length = self.length
-        pieces = self.pieces(self.frequent())
-        again = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("n > 1").select(F.col("anchor").alias("anchor_"), (F.col("lo") != F.col("hi")).alias("several"))
-        firsts = self.firsts().select(F.col("first").alias("doc_")).distinct()
-        shared = save(pieces.join(again, F.col("anchor") == F.col("anchor_")).join(firsts, F.col("doc") == F.col("doc_"), "left_semi").select("anchor", "piece", "doc", "span", "several"), "sd-shared")
+        length, spark = self.length, self.docs.sparkSession
+        pieces = self.pieces()
+        again = pieces.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("anchor").alias("anchor_"))
+        shared = save(pieces.join(again, F.col("anchor") == F.col("anchor_")).select("anchor", "piece", "doc", "span"), "sd-shared")
+        del pieces, again
+        release(spark)
         # Struct order is document, then start.
-        classes = save(shared.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "span")).alias("first"), F.first("several").alias("several"), F.count("*").alias("n")), "sd-classes")
+        classes = save(shared.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "span")).alias("first"), F.count("*").alias("n")), "sd-classes")
         here = classes.filter("n > 1").select(F.col("anchor").alias("anchor_"), F.col("piece").alias("piece_"), F.col("first.doc").alias("doc_"), F.col("first.span").alias("span_"))
         start, end = F.shiftright("span", 10), F.shiftright("span", 10) + F.col("span").bitwiseAND(F.lit(1023))
-        equal = shared.join(here, (F.col("anchor") == F.col("anchor_")) & (F.col("piece") == F.col("piece_")) & ((F.col("doc") != F.col("doc_")) | (F.col("span") != F.col("span_")))).select("doc", start.alias("start"), end.alias("end"))
-        # The distinct pieces of anchors with several go to collections, with their bytes.
-        several = classes.filter("several").select(F.col("first.doc").alias("of"), F.struct("anchor", F.col("first.span").alias("span")).alias("at"))
-        listed = several.groupBy("of").agg(F.collect_list("at").alias("pieces"))
-
-        def cut(batches):
-            for pdf in batches:
-                out = []
-                for doc, text, wanted in zip(pdf.doc, pdf.text, pdf.pieces):
-                    data = text.encode()
-                    out += [(p["anchor"], doc, p["span"] >> 10, data[p["span"] >> 10 : (p["span"] >> 10) + (p["span"] & 1023)]) for p in wanted]
-                yield pd.DataFrame(out, columns=["anchor", "doc", "start", "content"])
-
-        content = self.docs.join(listed, F.col("doc") == F.col("of")).select("doc", "text", "pieces").mapInPandas(cut, "anchor long, doc long, start long, content binary")
-        content = save(content, "sd-content")
-        total = content.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        equal = shared.join(here, (F.col("anchor") == F.col("anchor_")) & (F.col("piece") == F.col("piece_")) & ((F.col("doc") != F.col("doc_")) | (F.col("span") != F.col("span_"))))
+        equal = save(equal.select("doc", start.alias("start"), end.alias("end")), "sd-equal")
+        content = self._content(classes)
+        release(spark)
+        total = content.filter("not alone").agg(F.sum(F.octet_length("content"))).first()[0] or 0
         buckets = max(1, -(-total // BUCKET_BYTES))
 
         def compare(key, pdf):
@@ -302,8 +261,39 @@ class Repeats:
                     rows.append((d, a, b))
             return pd.DataFrame(rows, columns=["doc", "start", "end"]).astype("int64")
 
-        found = content.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "doc long, start long, end long")
-        return save(equal.unionByName(found), "sd-spans")
+        found = content.filter("not alone").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "doc long, start long, end long")
+        alone = content.filter("alone").select("anchor", "check", "doc", "start")
+        least = alone.groupBy("anchor", "check").agg(F.min(F.struct("doc", "start")).alias("first")).select(F.col("anchor").alias("anchor_"), F.col("check").alias("check_"), "first")
+        later = alone.join(least, (F.col("anchor") == F.col("anchor_")) & (F.col("check") == F.col("check_")) & (F.struct("doc", "start") != F.col("first"))).select("doc", "start", (F.col("start") + length).alias("end"))
+        return equal.unionByName(save(found.unionByName(later), "sd-found"))
+
+    def _content(self, classes: DataFrame) -> DataFrame:
+        """Bytes of the distinct pieces of anchors with several: anchor, check, doc, start, content, alone (a string of a common anchor by itself: two hashes, no bytes)."""
+        length = self.length
+        counts = classes.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("anchor").alias("anchor_"), (F.col("m") > MAX_PIECES).alias("common"))
+        several = classes.join(counts, F.col("anchor") == F.col("anchor_")).select(F.col("first.doc").alias("of"), F.struct("anchor", F.col("first.span").alias("span"), "common").alias("at"))
+        listed = several.groupBy("of").agg(F.collect_list("at").alias("pieces"))
+
+        def cut(batches):
+            columns = ["anchor", "check", "doc", "start", "content", "alone"]
+            for pdf in batches:
+                out = []
+                for doc, text, wanted in zip(pdf.doc, pdf.text, pdf.pieces):
+                    data = text.encode()
+                    for p in wanted:
+                        start = p["span"] >> 10
+                        piece = data[start : start + (p["span"] & 1023)]
+                        if not p["common"]:
+                            out.append((p["anchor"], 0, doc, start, piece, False))
+                            continue
+                        sums, i = cumulative(np.frombuffer(piece, np.uint8)), np.arange(len(piece) - length + 1)
+                        whole = span_hashes(sums, i, i + length).view(np.int64)
+                        check = mixed(span_hashes(sums, i, i + length // 2) + np.uint64(3) * span_hashes(sums, i + length // 3, i + length)).view(np.int64)
+                        out += [(h, c, doc, start + k, None, True) for k, (h, c) in enumerate(zip(whole.tolist(), check.tolist()))]
+                yield pd.DataFrame(out, columns=columns)
+
+        rows = self.docs.join(listed, F.col("doc") == F.col("of")).select("doc", "text", "pieces")
+        return save(rows.mapInPandas(cut, "anchor long, check long, doc long, start long, content binary, alone boolean"), "sd-content")
 
     def firsts(self) -> DataFrame:
         return self.rows.groupBy("digest").agg(F.min("doc").alias("first"))
