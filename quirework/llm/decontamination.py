@@ -11,14 +11,25 @@ of the folded item, in bytes.
 Benchmark items are a stated query set: they are taken in blocks of bounded size,
 each block against all documents; nothing of the documents is broadcast.
 
-Defined results: null and empty texts have no hits, nor have empty items; items of
-fewer than ``SHORT`` folded bytes count only where they occur exactly, as whole
-words; a document has one row for each item it holds (the least distance); repeated
+Walks start up to the last place from which a walk is likely to stay within the item (a
+step moves on every second time). Items of few bytes have few such starts, so they
+have shorter walks and more repetitions besides (``TIERS``).
+
+Items of fewer than ``SHORT`` folded bytes have too few bytes for walks: an item with a
+space on each side is cut into one piece more than it may have edits, so that one piece
+is unedited in every hit. Where it is, the window is verified; this misses nothing.
+
+Defined results: null and empty texts have no hits, nor have empty items; for items
+of fewer than ``SHORT`` folded bytes the spaces round them count as bytes to be found
+(so with no edits they are whole words), but the limit goes by the item's own length;
+a document has one row for each item it holds (the least distance); repeated
 rows have rows of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,35 +40,51 @@ from .numtext import chunks, folded, mixed, raw
 SIMILARITY = 0.8
 STEPS, SAMPLED, EARLY, REPEATS = 44, 17, 7, 7
 SHORT = 32
+
+
+class Walks(NamedTuple):
+    """Walks of items of at most ``longest`` folded bytes; the first ``early`` samples make a partial key."""
+
+    longest: int
+    steps: int
+    sampled: int
+    early: int
+    repeats: int
+
+
+#: An item has the walks of every tier that it isn't too long for.
+TIERS = (Walks(2**31, STEPS, SAMPLED, EARLY, REPEATS), Walks(112, 28, 11, 4, 5), Walks(72, 24, 10, 4, 8))
+#: Bytes of an item that many places are first held against at a time.
+HEAD = 63
 #: Bytes of item text in one block.
 BLOCK_BYTES = 4_000_000
 
 
-def repetition(r: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def repetition(r: int, tier: Walks = TIERS[0], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """The moves (step, byte) of a repetition's walk, and the steps it samples."""
     rng = np.random.default_rng([seed, r])
-    moves = rng.integers(0, 2, (STEPS, 256)).astype(np.int64)
-    return moves, np.sort(rng.choice(STEPS, SAMPLED, replace=False))
+    moves = rng.integers(0, 2, (tier.steps, 256)).astype(np.int64)
+    return moves, np.sort(rng.choice(tier.steps, tier.sampled, replace=False))
 
 
-def walk(data: np.ndarray, starts: np.ndarray, moves: np.ndarray, sampled: np.ndarray, early: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(starts, partial keys, keys) of walks; those whose partial key isn't in the ``early`` table end early."""
+def walk(data: np.ndarray, starts: np.ndarray, moves: np.ndarray, sampled: np.ndarray, first: int, early: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(starts, partial keys of ``first`` samples, keys) of walks; those whose partial key isn't in the ``early`` table end early."""
     at, key, n = starts.copy(), np.zeros(len(starts), np.uint64), 0
     partial = key
     take = set(sampled.tolist())
     for step in range(int(sampled[-1]) + 1):
-        under = data[at]
+        under = data.take(at)
         if step in take:
             key = (key + under + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
             n += 1
-            if n == EARLY:
+            if n == first:
                 partial = key
                 if early is not None:
                     on = early[(key & np.uint64(len(early) - 1)).astype(np.int64)]
                     starts, at, key, under = starts[on], at[on], key[on], under[on]
                     partial = key
-        at += moves[step][under]
+        at += moves[step].take(under)
     return starts, partial, mixed(key)
 
 
@@ -88,61 +115,177 @@ def edit_distance_in(pattern: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
+def edit_distances_in(masks: np.ndarray, lengths: np.ndarray, which: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """edit_distance_in for many at once: pattern ``which`` (masks by byte, at most 63 bytes) and its text, padded with byte 0, which no pattern has."""
+    one = np.uint64(1)
+    m = lengths[which].astype(np.uint64)
+    full, top = (one << m) - one, one << (m - one)
+    up, down = full.copy(), np.zeros(len(which), np.uint64)
+    score = lengths[which].astype(np.int64)
+    best = score.copy()
+    for j in range(texts.shape[1]):
+        eq = masks[which, texts[:, j]]
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        plus = down | (full & ~(diagonal | up))
+        minus = up & diagonal
+        score += ((plus & top) != 0).astype(np.int64) - ((minus & top) != 0)
+        plus, minus = plus << one & full, minus << one & full
+        up, down = minus | (full & ~(diagonal | plus)), plus & diagonal
+        np.minimum(best, score, out=best)
+    return best
+
+
+class ShortItems:
+    """Items of fewer than ``SHORT`` folded bytes, with a space on each side, and the pieces by which they are found."""
+
+    #: Windows that are verified at a time.
+    WINDOWS = 100_000
+
+    def __init__(self, which: list[int], texts: list[bytes], similarity: float):
+        self.which = np.array(which, np.int64)
+        padded = [b" " + texts[i] + b" " for i in which]
+        self.lengths = np.array([len(t) for t in padded], np.int64)
+        self.most = np.array([int((1 - similarity) * (len(t) - 2) + 1e-9) for t in padded], np.int64)
+        self.masks = np.zeros((len(padded), 256), np.uint64)
+        grams: dict[int, list[tuple[int, int, int]]] = {}
+        for k, t in enumerate(padded):
+            for i, c in enumerate(t):
+                self.masks[k, c] |= np.uint64(1 << i)
+            cuts = np.linspace(0, len(t), self.most[k] + 2).astype(int).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                q = min(b - a, 4)
+                if q:
+                    grams.setdefault(q, []).append((int.from_bytes(t[a : a + q], "little"), k, a))
+        self.grams = {q: np.array(sorted(g), np.int64).T for q, g in grams.items()}
+
+    def hits(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, item, distance) of the folded texts of a chunk."""
+        if not len(self.which):
+            return []
+        # Each text with a space before and after, which are those of its first and last word.
+        rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        spaced = np.full(len(data) + 2 * (len(at) - 1), 0x20, np.uint8)
+        spaced[np.arange(len(data)) + 2 * rows + 1] = data
+        begin, end = at[:-1] + 2 * np.arange(len(at) - 1), at[1:] + 2 * np.arange(1, len(at))
+        found = []
+        for q, (gram, item, offset) in self.grams.items():
+            here = np.zeros(max(0, len(spaced) - q + 1), np.uint32)
+            for j in range(q):
+                here |= spaced[j : j + len(here)].astype(np.uint32) << np.uint32(8 * j)
+            known = np.zeros(1 << 16, bool)
+            known[(gram * 0x9E3779B1 >> 7) & 0xFFFF] = True
+            place = np.flatnonzero(known[((here.astype(np.int64) * 0x9E3779B1) >> 7) & 0xFFFF])
+            lo, hi = np.searchsorted(gram, here[place]), np.searchsorted(gram, here[place], side="right")
+            times = hi - lo
+            of = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            found.append(item[of] << 40 | np.repeat(place, times) - offset[of] + SHORT)
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        item, place = both >> 40, (both & (1 << 40) - 1) - SHORT
+        best: dict[tuple[int, int], int] = {}
+        for lo in range(0, len(item), self.WINDOWS):
+            k, p = item[lo : lo + self.WINDOWS], place[lo : lo + self.WINDOWS]
+            row = np.clip(np.searchsorted(begin, np.maximum(p, 0) + self.most[k], side="right") - 1, 0, len(begin) - 1)
+            # The piece may be a text's first or last: the window then reaches over from its neighbour.
+            for r in (row - 1, row, row + 1):
+                ok = (r >= 0) & (r < len(begin))
+                ok[ok] = (begin[r[ok]] < (p + self.lengths[k] + self.most[k])[ok]) & (end[r[ok]] > (p - self.most[k])[ok])
+                if not ok.any():
+                    continue
+                kk, rr = k[ok], r[ok]
+                a = p[ok] - self.most[kk]
+                spot = a[:, None] + np.arange(int((self.lengths[kk] + 2 * self.most[kk]).max()))
+                inside = (spot >= begin[rr][:, None]) & (spot < end[rr][:, None])
+                texts = np.where(inside, spaced[np.clip(spot, 0, len(spaced) - 1)], 0)
+                distance = edit_distances_in(self.masks, self.lengths, kk, texts)
+                good = distance <= self.most[kk]
+                for x, y, d in zip(rr[good].tolist(), self.which[kk[good]].tolist(), distance[good].tolist()):
+                    best[x, y] = min(d, best.get((x, y), d))
+        return [(r, i, d) for (r, i), d in best.items()]
+
+
 class Items:
     """A block of items: folded texts, and the keys of their walks for each repetition."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY):
         import pyarrow as pa
 
         data, at = folded(*raw(pa.array(texts, pa.string())))
         # Walks that run past an item's end meet spaces.
         self.ids = ids
         self.texts = [data[a:b].tobytes().strip() for a, b in zip(at[:-1], at[1:])]
-        self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < SHORT]
+        self.short = ShortItems([i for i, t in enumerate(self.texts) if 0 < len(t) < SHORT], self.texts, similarity)
+        # Of items that have walks of several tiers, and so many places, the heads go first.
+        self.masks, self.heads = np.zeros((len(self.texts), 256), np.uint64), np.zeros(len(self.texts), np.int64)
+        for i, t in enumerate(self.texts):
+            if SHORT <= len(t) <= TIERS[1].longest:
+                self.heads[i] = min(HEAD, len(t))
+                for j, c in enumerate(t[:HEAD]):
+                    self.masks[i, c] |= np.uint64(1 << j)
         self.tables = []
-        joined, item, offset = [], [], []
+        for n, tier in enumerate(TIERS):
+            self._add(tier, sum(t.repeats for t in TIERS[:n]))
+
+    def _add(self, tier: Walks, first: int) -> None:
+        joined, item, offset, places = [], [], [], []
         base = 0
         for i, t in enumerate(self.texts):
-            if len(t) >= SHORT:
-                text = b" " + t + b" " * (STEPS + 1)
+            if SHORT <= len(t) <= tier.longest:
+                text = b" " + t + b" " * (tier.steps + 1)
                 starts = [k for k in range(1, len(t) + 1) if text[k - 1] == 32]
-                # Walks start where a whole walk fits, or at the item's start.
-                starts = [k for k in starts if k == 1 or k + STEPS <= len(t)]
+                # Walks start where one likely stays within the item, or at the item's start.
+                starts = [k for k in starts if k == 1 or k - 1 + tier.steps // 2 <= len(t)]
                 joined.append(text)
                 item += [i] * len(starts)
                 offset += [k - 1 for k in starts]
+                places += [base + k for k in starts]
                 base += len(text)
-        self.item, self.offset = np.array(item, np.int64), np.array(offset, np.int64)
-        lengths = np.cumsum([0, *map(len, joined)])
-        which = {i: k for k, i in enumerate(i for i, t in enumerate(self.texts) if len(t) >= SHORT)}
-        at = np.array([lengths[which[i]] + o + 1 for i, o in zip(item, offset)], np.int64)
-        flat = np.frombuffer(b"".join(joined), np.uint8)
-        for r in range(REPEATS):
-            moves, sampled = repetition(r)
-            _, partial, key = walk(flat, at, moves, sampled) if len(at) else (at, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        if not places:
+            return
+        at, flat = np.array(places, np.int64), np.frombuffer(b"".join(joined), np.uint8)
+        for r in range(first, first + tier.repeats):
+            moves, sampled = repetition(r, tier)
+            _, partial, key = walk(flat, at, moves, sampled, tier.early)
             early = np.zeros(1 << 20, bool)
             early[(partial & np.uint64(len(early) - 1)).astype(np.int64)] = True
             order = np.argsort(key)
-            self.tables.append((moves, sampled, early, key[order], order))
+            self.tables.append((moves, sampled, tier.early, early, key[order], np.array(item, np.int64)[order], np.array(offset, np.int64)[order]))
+
+    def _possible(self, data: np.ndarray, at: np.ndarray, found: np.ndarray, similarity: float) -> np.ndarray:
+        """Of places (row, item, place) those where the item's head alone has no more edits than the item may have."""
+        ok = np.ones(found.shape[1], bool)
+        some = np.flatnonzero(self.heads[found[1]])
+        full = np.array([len(t) for t in self.texts], np.int64)
+        for lo in range(0, len(some), ShortItems.WINDOWS):
+            mine = some[lo : lo + ShortItems.WINDOWS]
+            row, item, place = found[:, mine]
+            slack = full[item] // 4 + 2
+            spot = (place - slack)[:, None] + np.arange(int((self.heads[item] + 2 * slack).max()))
+            inside = (spot >= at[row][:, None]) & (spot < at[row + 1][:, None])
+            texts = np.where(inside, data[np.clip(spot, 0, len(data) - 1)], 0)
+            ok[mine] = edit_distances_in(self.masks, self.heads, item, texts) <= ((1 - similarity) * full[item] + 1e-9).astype(np.int64)
+        return found[:, ok]
 
     def hits(self, data: np.ndarray, at: np.ndarray, similarity: float) -> list[tuple[int, int, int]]:
         """(row, item, distance) of the folded texts of a chunk."""
         padded = np.concatenate([data, np.full(STEPS + 2, 0x20, np.uint8)])
         starts = np.flatnonzero((padded[: len(data)] != 0x20) & (np.concatenate([[0x20], data[:-1]]) == 0x20)) if len(data) else np.zeros(0, np.int64)
         found = []
-        for moves, sampled, early, keys, order in self.tables:
-            if not len(keys) or not len(starts):
-                continue
-            own, _, key = walk(padded, starts, moves, sampled, early)
-            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-            some = np.flatnonzero(hi > lo)
-            times = (hi - lo)[some]
-            which = order[np.repeat(lo[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        for moves, sampled, first, early, keys, items, offsets in self.tables:
+            if not len(starts):
+                break
+            own, _, key = walk(padded, starts, moves, sampled, first, early)
+            lo = np.searchsorted(keys, key)
+            some = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
+            times = np.searchsorted(keys, key[some], side="right") - lo[some]
+            which = np.repeat(lo[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             place = np.repeat(own[some], times)
-            found.append(np.stack([np.searchsorted(at, place, side="right") - 1, self.item[which], place - self.offset[which]]))
+            found.append(np.stack([np.searchsorted(at, place, side="right") - 1, items[which], place - offsets[which]]))
         best: dict[tuple[int, int], int] = {}
         if found:
-            row, item, place = (all_ := np.unique(np.concatenate(found, axis=1), axis=1))[:, np.lexsort((all_[2], all_[1], all_[0]))]
+            all_ = np.concatenate(found, axis=1)
+            all_ = all_[:, np.lexsort((all_[2], all_[1], all_[0]))]
+            all_ = all_[:, np.concatenate([[True], (all_[:, 1:] != all_[:, :-1]).any(axis=0)])[: all_.shape[1]]]
+            row, item, place = self._possible(data, at, all_, similarity)
             last = None
             for r, i, p in zip(row.tolist(), item.tolist(), place.tolist()):
                 text = self.texts[i]
@@ -155,13 +298,7 @@ class Items:
                 distance, _ = edit_distance_in(text, data[a:b].tobytes(), most)
                 if distance <= most:
                     best[r, i] = min(distance, best.get((r, i), distance))
-        if self.short:
-            for r in range(len(at) - 1):
-                text = b" " + data[at[r] : at[r + 1]].tobytes() + b" "
-                for i in self.short:
-                    if b" " + self.texts[i] + b" " in text:
-                        best[r, i] = 0
-        return [(r, i, d) for (r, i), d in best.items()]
+        return [(r, i, d) for (r, i), d in best.items()] + self.short.hits(data, at)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -184,7 +321,7 @@ def _against(docs: DataFrame, rows: list, similarity: float) -> DataFrame:
     def search(batches):
         import pyarrow as pa
 
-        items = Items(ids, texts)
+        items = Items(ids, texts, similarity)
         for batch in batches:
             got = []
             for lo, _, data, at in chunks(batch.column("text")):

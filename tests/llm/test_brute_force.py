@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quirework.llm import decontamination, fingerprint, mixing, ngram_join, numtext, quality, sharding, suffix_dedup, token_counts, toxicity
@@ -348,3 +349,41 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in clean.collect()}
     placed = stages["sharding"](spark, mixed, sf)
     assert placed.count() == mixed.count()
+
+
+def test_decontamination_of_items_by_length():
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+
+    def chunk(texts):
+        return numtext.folded(*numtext.raw(pa.array(texts, pa.string())))
+
+    for size in (40, 60, 90):
+        items, rows = [" ".join(word() for _ in range(40))[:size].rsplit(" ", 1)[0] for _ in range(60)], []
+        for t in items:
+            # Edits are all in the first half, where the walks of a short item used to start.
+            w = list(t)
+            for i in rng.sample(range(len(t) // 2), int(0.15 * len(t))):
+                w[i] = rng.choice(letters)
+            rows.append(f"{word()} {word()} {''.join(w)} {word()} {word()}")
+        got = {(r, i) for r, i, _ in decontamination.Items(list(range(60)), items).hits(*chunk(rows), 0.8)}
+        assert len(got & {(i, i) for i in range(60)}) >= 54
+
+
+def test_decontamination_of_short_items(monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 6)))
+    items = list(dict.fromkeys(" ".join(word() for _ in range(rng.randint(1, 5)))[:31].strip() for _ in range(60)))
+    rows = [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(120)] + ["", *items, *(t + "s" for t in items), *("xx " + t[1:] for t in items)]
+    data, at = numtext.folded(*numtext.raw(pa.array(rows, pa.string())))
+    want = {}
+    for r in range(len(rows)):
+        text = b" " + data[at[r] : at[r + 1]].tobytes() + b" "
+        for i, t in enumerate(items):
+            d, _ = decontamination.edit_distance_in(f" {t} ".encode(), text, 99)
+            if d <= int(0.2 * len(t) + 1e-9):
+                want[r, i] = d
+    monkeypatch.setattr(decontamination.ShortItems, "WINDOWS", 50)
+    got = decontamination.Items(list(range(len(items))), items).hits(data, at, 0.8)
+    assert {(r, i): d for r, i, d in got} == want and len(got) == len(want) and any(want.values())
