@@ -36,6 +36,7 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import maybe_broadcast, release, save
 from .components import components
@@ -322,10 +323,28 @@ def linked(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> D
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of linked ones stays (the smallest doc_id), and all that link with nothing; of equal doc_ids one row."""
-    found = save(linked(docs, k, percent), "nj-found")
-    away = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("near_copy")).distinct()
-    kept = docs.join(maybe_broadcast(away), docs["doc_id"].eqNullSafe(away["near_copy"]), "left_anti")
-    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """One document of each group of linked ones stays, and all that link with nothing.
+
+    A document is a (doc_id, text): rows of one doc_id, or without any, that differ in text
+    are decided apart. The least doc_id of a group stays (null first), of those the
+    least hash of the text; of rows equal in both the least in their other columns.
+    """
+    ids = docs.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).count()
+    if ids.filter("count > 1").isEmpty():
+        found = save(linked(docs, k, percent), "nj-found")
+        away = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("near_copy")).distinct()
+        return docs.join(maybe_broadcast(away), docs["doc_id"].eqNullSafe(away["near_copy"]), "left_anti")
+    node = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("node_")
+    nodes = docs.select(node, "doc_id", "text")
+    found = save(linked(nodes.select(F.col("node_").alias("doc_id"), "text"), k, percent), "nj-found")
+    moved = found.filter("doc_id <> component_id")
+    grouped = moved.select("doc_id", "component_id").unionByName(moved.select(F.col("component_id").alias("doc_id"), "component_id")).distinct()
+    grouped = save(grouped.join(nodes.select("node_", F.col("doc_id").alias("id_")).distinct(), F.col("doc_id") == F.col("node_")).select("node_", "id_", "component_id"), "nj-grouped")
+    stays = grouped.groupBy("component_id").agg(F.min(F.struct("id_", "node_")).alias("least")).select("least.node_")
+    away = save(grouped.join(stays, "node_", "left_anti").select(F.col("node_").alias("near_copy")), "nj-away")
+    kept = docs.withColumn("node_", node)
+    kept = kept.join(maybe_broadcast(away), F.col("node_") == F.col("near_copy"), "left_anti")
+    # Partial minima, so that no task holds all rows of a text.
+    whole = F.struct(*docs.columns)
+    order = F.struct(*[F.to_json(c) if isinstance(t.dataType, MapType) else F.col(c) for c, t in zip(docs.columns, docs.schema)])
+    return kept.groupBy("node_").agg(F.min_by(whole, order).alias("row_")).select("row_.*")

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns: each operator has a defined result."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,16 @@ def test_ngram_join(spark, odd):
     assert ngram_join.linked(odd.limit(0)).count() == 0
 
 
+def test_ngram_join_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(7, a, 2), (7, a, 1), (7, b, 1), (None, c, 1), (None, d, 1), (8, c + " more", 1), (9, d + " more", 1), (9, e, 1), (6, b + " more", 1), (None, None, 1), (10, "", 1)]
+    want = {(7, a, 1), (None, c, 1), (None, d, 1), (9, e, 1), (6, b + " more", 1), (None, None, 1), (10, "", 1)}
+    got = ngram_join.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, extra int").coalesce(1)).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+
+
 def test_mixing(spark, odd):
     got = mixing.mix(odd).collect()
     assert len(got) == 8 and all(r.taken <= 3 * r["size"] for r in got) and {r["size"] for r in got if r.doc_id in (1, 2, 5)} == {0}
