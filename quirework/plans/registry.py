@@ -105,8 +105,7 @@ def hyphen_kinds(spark, sf):
     return A.table(spark, sf, "part").select("p_partkey", T.hyphen_kind(text).alias("kind"))
 
 
-def _pairs(spark, sf):
-    d = A.document_lines(spark, sf).filter((F.octet_length("text") == F.length("text")) & (F.length("text") >= 20))
+def _pairs(d):
     t, k = F.col("text"), F.col("doc_id") % 6
     edited = (
         F.when(k == 0, t).when(k == 1, F.concat(F.lit("zz"), F.substr(t, F.lit(3)))).when(k == 2, F.concat(t, F.lit(" and more"))).when(k == 3, F.expr("left(text, length(text) div 2)"))
@@ -117,7 +116,14 @@ def _pairs(spark, sf):
 
 @query
 def drift_reasons(spark, sf):
-    return _pairs(spark, sf).select("doc_id", "line_no", T.drift_reason("text", "edited").alias("reason"))
+    """Lines where DuckDB's distance, which is by bytes, agrees with ours; drift_reasons_all_lines has all."""
+    d = A.document_lines(spark, sf).filter((F.octet_length("text") == F.length("text")) & (F.length("text") >= 20))
+    return _pairs(d).select("doc_id", "line_no", T.drift_reason("text", "edited").alias("reason"))
+
+
+@query
+def drift_reasons_all_lines(spark, sf):
+    return _pairs(A.document_lines(spark, sf)).select("doc_id", "line_no", T.drift_reason("text", "edited").alias("reason"))
 
 
 @query
@@ -302,7 +308,7 @@ def _fix(texts: list[str]) -> list[str]:
 
 @query
 def correction_pass(spark, sf):
-    d = A.document_lines(spark, sf).filter(F.octet_length("text") == F.length("text"))
+    d = A.document_lines(spark, sf)
     s = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("line_no").alias("block_no"), F.lit(0).alias("span_no"), F.lit("text").alias("kind"), "text")
     done, _ = correct.corrections(s, "prompt", None, _fix)
     return done.select("doc_id", "block_no", "accepted", "reason")

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from quirework.plans import registry
@@ -42,3 +43,51 @@ def test_positive_cases(spark, sf):
 def test_no_python_in_plans(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsIn", "MapInPandas", "MapInArrow"))
+
+
+def distance(a, b):
+    places = np.arange(len(b) + 1)
+    row, chars = places, np.array(list(b), dtype="U1")
+    for i, c in enumerate(a, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (chars != c))])
+        row = np.minimum.accumulate(new - places) + places
+    return int(row[-1])
+
+
+def drift(a, b):
+    a, b = a.strip(), b.strip()
+    if not b:
+        return "empty"
+    if len(b.encode()) > len(a.encode()) and (b.startswith(a) or b.endswith(a)):
+        return "only adds text at the start or end"
+    d = distance(a, b)
+    if d > 4 and a and abs(len(b) - len(a)) / len(a) > 0.15:
+        return f"length changed by {round(abs(len(b) - len(a)) / len(a) * 100)}%"
+    if d > 4 and (alike := 1 - d / max(len(a), len(b))) < 0.9:
+        return f"only {round(alike * 100)}% similar to the original"
+    return None
+
+
+@pytest.fixture(scope="module")
+def all_lines(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    return {(r.doc_id, i): t for r in docs if r.text is not None for i, t in enumerate(r.text.split("\n"))}
+
+
+def test_drift_reasons_of_all_lines(spark, sf, all_lines):
+    def edited(k, t):
+        return (t, "zz" + t[2:], t + " and more", t[: len(t) // 2], "new words at the start, " + t[1:], t[::-1])[k % 6]
+
+    got = {(r.doc_id, r.line_no): r.reason for r in registry.queries()["drift_reasons_all_lines"](spark, sf).collect()}
+    assert got == {k: drift(t, edited(k[0], t)) for k, t in all_lines.items()}
+    assert any(not t.isascii() for t in all_lines.values()) and any(len(t) < 20 for t in all_lines.values())
+
+
+def test_correction_pass_covers_all_lines(spark, sf, all_lines):
+    got = {(int(r.doc_id), r.block_no): (r.accepted, r.reason) for r in registry.queries()["correction_pass"](spark, sf).collect()}
+    assert {k for k, t in all_lines.items() if t.strip()} <= got.keys() <= all_lines.keys()
+    for k in got:
+        a = all_lines[k].strip()
+        b = registry._fix([a])[0].strip()
+        why = "model returned nothing" if not b else None if a == b else drift(a, b)
+        assert got[k] == (bool(b) and a != b and why is None, why)
