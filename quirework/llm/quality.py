@@ -136,14 +136,16 @@ def score(docs: DataFrame, table: DataFrame) -> DataFrame:
         shards[-1].append(k)
         room -= n
     spark, out = docs.sparkSession, []
+    # Ranges meet, so that contexts that no n-gram has are scored (by backoff) too, each in one shard.
+    lo = 0
     for keys in shards:
-        lo, hi = (keys[0], keys[-1]) if keys else (0, 0xFFFF)
+        hi = 0xFFFF if keys is shards[-1] else keys[-1]
         part = keyed.filter(F.col("k").between(lo, hi) | (F.col("k") == -1)).select("level", "is_context", "g", F.col("value").cast("float").alias("value"))
         arrays = _arrays(part.toArrow())
         del part
         release(spark)
-        first = shards[0] is keys
-        out.append(_score_shard(docs, spark.sparkContext.broadcast(arrays), lo if not first else 0, 0xFFFF if keys is shards[-1] else hi))
+        out.append(_score_shard(docs, spark.sparkContext.broadcast(arrays), lo, hi))
+        lo = hi + 1
     if len(out) == 1:
         return out[0]
     # Rows of one document in several shards: sum by a row id made of what the row is.

@@ -90,6 +90,16 @@ def test_quality(spark, odd, labels):
     assert quality.accepted(odd, labels).columns == odd.columns and quality.accepted(odd.limit(0), labels).count() == 0
 
 
+def test_quality_shards_cover_unseen_contexts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "en", "banana cabana bandana zazen")], "doc_id long, lang string, text string")
+    other = spark.createDataFrame([(2, "en", "quqx!quqx mnop \u0416\u0436 ~~^^"), (3, "en", "banana")], docs.schema)
+    table = quality.model(quality.count_grams(docs)).cache()
+    one = {r.doc_id: r.nats for r in quality.score(other, table).collect()}
+    monkeypatch.setattr(quality, "SHARD_ROWS", 12)
+    two = {r.doc_id: r.nats for r in quality.score(other, table).collect()}
+    assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i], rel=1e-6) for i in one)
+
+
 def test_fingerprints(spark, odd):
     got = fingerprint.edited_fingerprints(odd).collect()
     assert len(got) == 8 and len({r.fingerprint for r in got if r.doc_id == 3}) == 1
