@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop, save, shared_folder  # noqa: F401
+
 #: Word separators of every operator here: space and the ASCII controls 09-0D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\f\r"
@@ -17,26 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only if it is unset."""
-    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster
-    own = spark.conf.get("quirework.scratch", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="quirework-")
-        spark.conf.set("quirework.scratch", own)
-    return own
-
-
-def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def trimmed(text: Column) -> Column:
     return F.trim(F.coalesce(text, F.lit("")), F.lit(SEPARATOR_CHARS))
 
@@ -59,14 +38,3 @@ def parallelism(spark: SparkSession) -> int:
 def maybe_broadcast(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``most_rows`` (narrow) rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
-def release(spark: SparkSession) -> None:
-    """Collect garbage, with which Spark drops shuffle files and broadcasts that nothing refers to any more."""
-    import gc
-    import time
-
-    for _ in range(2):  # Spark's cleaner works after a collection, and what it drops may hold more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

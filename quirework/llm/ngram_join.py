@@ -1,30 +1,35 @@
 """N-gram Jaccard join: a size-aware join of small ("light") and large ("heavy") sets.
 
 A document's set is its distinct word shingles. Two documents link when
-100 * |A & B| >= percent * |A | B|. Equal sets are one class, of which only one row
-goes on. Candidates among the classes:
+100 * |A & B| >= percent * |A | B|. Equal sets are one class, of which one row goes on.
+Candidates among the classes:
 
 * Small sets enumerate fixed-size subsets: sets of sizes s and t link only if they
   share c = ceil(percent * (s + t) / (100 + percent)) elements, so each enumerates
   its c-subsets for every c that it can have with a partner.
 * Large sets scan inverted lists: a link shares an element of both sets' prefixes of
   |A| - ceil(percent * |A| / 100) + 1 elements in one global order. The order puts
-  very frequent elements last, then goes by hash.
-
-The boundary is the largest size for which the subsets cost less than the lists. All
-candidates are verified on the whole sets.
-
-A large group of near copies has no quadratic number of pairs: in each round the
-members of a list that are not in its hub's component yet are compared with the hub
-only; then components are contracted. What is left in lists of several components is
-compared across components, with size and position filters inside the join, so no
-link between different components is lost.
-
-Defined results: null and empty texts have the empty set and link with nothing;
-fewer words than a shingle make one of all words; a null doc_id is one more id, less
-than all others; rows of one doc_id are one document if their sets are equal, else
-the doc_id links with all that one of its sets does; component_id is the smallest
-doc_id reachable; an empty table gives no rows; extra columns are ignored.
+  frequent elements last, the most frequent at the very end, then goes by hash.
+
+The boundary is the largest size for which the subsets cost less than the lists.
+
+Entries whose list has no other class of a fitting size and position fall away first,
+which leaves a small share. To those each class brings a parity sketch: a bit for each slot that an odd number of its elements
+fall into. Sets that differ in d elements have sketches that differ in at most d bits, so
+what the sketch rules out is no link. Within a list, classes whose components are known
+to be one are not compared, and only a spanning forest of the possible links between
+components goes out: never more rows than the list has. Of these each class has one
+verified on the whole sets; components are contracted, and lists that still have possible
+links between components, but for the pairs that failed, go through again. So a group of
+near copies takes about as many verified pairs as it has members, and no link between
+different components is lost. A list of more than ``CELL`` classes is dealt out in cells
+of that many: by itself first, then each block of it with each other block.
+
+Defined results: null and empty texts have the empty set and link with nothing; fewer
+words than a shingle make one of all words; a null doc_id is one more id, less than all
+others (as is -2**63, which stands for it); rows of one doc_id with different sets link with each other;
+component_id is the smallest doc_id reachable; an empty table gives no rows; extra
+columns are ignored. Shingles and sets are told apart by hashes of 64 and 128 bits.
 """
 
 from __future__ import annotations
@@ -34,24 +39,31 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import maybe_broadcast, release, save
+from .common import drop, maybe_broadcast, save
 from .components import components
 from .numtext import LOWER, chunks, cumulative, mixed, span_hashes, word_spans
 
 SHINGLE_WORDS = 4
 PERCENT = 85
 #: A task tells of elements that it sees in more prefixes than this; such elements go last in the order.
-FREQUENT = 12
+FREQUENT = 6
 #: At most this many are sent to tasks (those seen most); the order of the others doesn't change results.
 MAX_FREQUENT = 200_000
-HUB_ROUNDS = 3
 #: Cost of verifying a candidate, in elements read, for each element of a set.
 VERIFY = 1.0
 NO_ID = -(2**63)
+#: Bits of a sketch for each element (up to the next power of two), least and most: one that tells strangers apart, and one that counts.
+SMALL, LARGE = (0.5, 128, 1 << 13), (4, 1024, 1 << 16)
+#: Classes that are compared in one cell of a list; entries of a list that are first held against each other by size and position.
+CELL, PAIRED = 4096, 24
+#: Rounds in which a class has one pair verified; then all that are left at once.
+ROUNDS = 4
+#: Rounds in which long lists are dealt out in blocks by themselves only.
+APART = 2
 
 
 def needed(s: int, t: int, percent: int) -> int:
@@ -108,18 +120,26 @@ def shingle_sets(column, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield lo, out
 
 
-def ordered(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """In the global order: by hash, the frequent ones last."""
+def ordered(elements: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """In the global order: by hash, then the frequent ones by rank."""
     if not len(frequent):
         return elements
     at = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
     last = frequent[at] == elements
-    return np.concatenate([elements[~last], elements[last]])
+    tail = elements[last]
+    return np.concatenate([elements[~last], tail[np.argsort(rank[at[last]])]])
 
 
-def signature(elements: np.ndarray) -> tuple[int, int]:
+def signature(elements: np.ndarray, seed: int = 0) -> tuple[int, int]:
     u = elements.view(np.uint64)
-    return int(mixed(u).sum(dtype=np.uint64).view(np.int64)), int(mixed(u ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64))
+    return int(mixed(u + np.uint64(seed)).sum(dtype=np.uint64).view(np.int64)), int(mixed(u ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64))
+
+
+def sketches(elements: np.ndarray) -> tuple[bytes, bytes]:
+    """Parities of the elements' slots, few and many. Half as many slots: the halves, xor."""
+    few, many = (min(max(1 << max(int(each * len(elements)) - 1, 0).bit_length(), least), most) for each, least, most in (SMALL, LARGE))
+    odd = np.packbits((np.bincount(elements & (many - 1), minlength=many) & 1).astype(np.uint8))
+    return np.bitwise_xor.reduce(odd.reshape(-1, few // 8), axis=0).tobytes(), odd.tobytes()
 
 
 def _subset_key(some: tuple[int, ...]) -> int:
@@ -133,7 +153,7 @@ def _subset_key(some: tuple[int, ...]) -> int:
 _ALL = 2**64 - 1
 
 
-def keys_of(elements: np.ndarray, frequent: np.ndarray, percent: int, small: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def keys_of(elements: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int, small: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(keys, positions, kind) of a set's candidates: kind 1 subsets, 0 elements of its prefix."""
     s, out = len(elements), []
     if 0 < s <= small:
@@ -141,31 +161,199 @@ def keys_of(elements: np.ndarray, frequent: np.ndarray, percent: int, small: int
         out.append((keys, np.zeros(len(keys), np.int64), 1))
     # Small sets stay in the lists if a large set can be their partner.
     if s > small or 100 * s >= percent * (small + 1):
-        keys = ordered(elements, frequent)[: prefix_length(s, percent)]
+        keys = ordered(elements, frequent, rank)[: prefix_length(s, percent)]
         out.append((keys, np.arange(len(keys)), 0))
     return out
 
 
+class Cell:
+    """The classes of one list, or of one cell of a long list, and the possible links between their components."""
+
+    def __init__(self, node, size, rest, label, sketches: list[bytes], failed: list, percent: int):
+        self.node, self.size, self.rest, self.percent = node, size, rest, percent
+        self.root = np.unique(label, return_inverse=True)[1]
+        self.failed = [set(f or ()) for f in failed]
+        self.width = np.array([len(s) for s in sketches])
+        self.raw, self.rows, self.place = sketches, {}, np.zeros(len(node), np.int64)
+
+    def _sketches(self, which: np.ndarray, width: int) -> np.ndarray:
+        """The sketches of members of one width, as rows of words."""
+        if width not in self.rows:
+            mine = np.flatnonzero(self.width == width)
+            self.place[mine] = np.arange(len(mine))
+            self.rows[width] = np.frombuffer(b"".join([self.raw[i] for i in mine]), np.uint64).reshape(len(mine), -1)
+        return self.rows[width][self.place[which]]
+
+    def partners(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Of other members those that x can link with."""
+        n, m = self.size[x], self.size[others]
+        both = n + m
+        ok = (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & ((100 + self.percent) * np.minimum(self.rest[x], self.rest[others]) >= self.percent * both)
+        others, both = others[ok], both[ok]
+        if not len(others):
+            return others
+        good = np.zeros(len(others), bool)
+        for width in np.unique(self.width[others]).tolist():
+            k = np.flatnonzero(self.width[others] == width)
+            theirs, own = self._sketches(others[k], width), self._sketches(np.array([x]), int(self.width[x]))
+            least = min(theirs.shape[1], own.shape[1])
+            theirs, own = (np.bitwise_xor.reduce(a.reshape(len(a), -1, least), axis=1) if a.shape[1] > least else a for a in (theirs, own))
+            apart = np.bitwise_count(theirs ^ own).sum(axis=1, dtype=np.int64)
+            good[k] = (100 + self.percent) * apart <= (100 - self.percent) * both[k]
+        others = others[good]
+        if self.failed[x] or any(self.failed[y] for y in others.tolist()):
+            u = self.node[x]
+            others = np.array([y for y in others.tolist() if self.node[y] not in self.failed[x] and u not in self.failed[y]], np.int64)
+        return others
+
+    def members(self) -> list[int]:
+        """Members that can link with any other."""
+        some = np.zeros(len(self.node), bool)
+        for x in range(len(some) - 1):
+            others = self.partners(x, np.arange(x + 1, len(some)))
+            some[others] = True
+            some[x] |= len(others) > 0
+        return np.flatnonzero(some).tolist()
+
+    def forest(self, every: bool) -> list[tuple[int, int]]:
+        """Pairs of members that span what can be linked (or every possible pair), between components only."""
+        root, out = self.root.copy(), []
+        for x in np.argsort(-self.rest, kind="stable").tolist():
+            others = np.flatnonzero(root != root[x])
+            if not len(others):
+                break
+            others = self.partners(x, others)
+            if every:
+                out += [(x, y) for y in others.tolist() if x < y]
+            elif len(others):
+                reached, first = np.unique(root[others], return_index=True)
+                out += [(x, y) for y in others[first].tolist()]
+                root[np.isin(root, reached)] = root[x]
+        return out
+
+
+def fitting(batches, percent: int):
+    """Of batches sorted by key (key, node, what: size, position, kind) the entries that may have a partner in their list.
+
+    Lists of at most ``PAIRED`` entries are compared pair by pair, by sizes and positions; of
+    longer ones those entries stay that fit any set of the list's sizes. A list is held in
+    pieces of at most ``CELL`` entries; an entry of a further piece fits if any size does.
+    """
+    import pyarrow as pa
+
+    def some(key, node, what, open_: bool) -> np.ndarray:
+        """open_: the last list goes on in the next piece, or the first one has begun before."""
+        size, kind = what >> 24, what & 1
+        rest = np.where(kind == 1, size, size - ((what >> 1) & ((1 << 23) - 1)))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times = np.diff(np.append(starts, len(key)))
+        keep = np.zeros(len(key), bool)
+
+        def fits(i, j):
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            return (node[i] != node[j]) & (100 * low >= percent * high) & ((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (low + high))
+
+        for m in range(2, PAIRED + 1):
+            own = starts[times == m]
+            for a in range(m if len(own) else 0):
+                for b in range(a + 1, m):
+                    ok = fits(own + a, own + b)
+                    keep[own[ok] + a] = keep[own[ok] + b] = True
+        for lo, m in zip(starts[times > PAIRED].tolist(), times[times > PAIRED].tolist()):
+            k = slice(lo, lo + m)
+            least = np.maximum(-(-percent * size[k] // 100), size[k].min())
+            keep[k] = (100 + percent) * rest[k] >= percent * (size[k] + least)
+        if open_:
+            least = -(-percent * size // 100)
+            keep |= ((100 + percent) * rest >= percent * (size + least)) & ((key == key[0]) | (key == key[-1]))
+        return keep
+
+    def made(table, open_=False):
+        key, node, what = (table.column(c).to_numpy() for c in ("key", "node", "what"))
+        keep = some(key, node, what, open_)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, what)], names=["key", "node", "what"])
+
+    held, begun = None, False
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        held = table
+        if not len(table):
+            continue
+        key = table.column("key").to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if len(table) - last > CELL:
+            yield made(table, True)
+            held, begun = None, True
+        elif last:
+            yield made(table.slice(0, last), begun)
+            held, begun = table.slice(last), False
+    if held is not None and len(held):
+        yield made(held, begun)
+
+
+def possible_links(batches, percent: int, give: str):
+    """Record batches (key, u, v) from batches sorted by (key, cell) with key, cell, node, what, sketch, label, failed.
+
+    give: "members" (u a class with any possible link, v its entry's ``what``), or pairs
+    between components: a "forest", or "every" one.
+    """
+    import pyarrow as pa
+
+    def cells(table):
+        key, cell = (table.column(c).to_numpy() for c in ("key", "cell"))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+        return key, starts
+
+    def found(table, key, starts):
+        node, what, label = (table.column(c).to_numpy() for c in ("node", "what", "label"))
+        sketches, failed = table.column("sketch").to_pylist(), table.column("failed").to_pylist()
+        size, kind = what >> 24, what & 1
+        rest = np.where(kind == 1, size, size - ((what >> 1) & ((1 << 23) - 1)))
+        keys, us, vs = [], [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+            if b - a < 2 or (label[a:b] == label[a]).all():
+                continue
+            c = Cell(node[a:b], size[a:b], rest[a:b], label[a:b], sketches[a:b], failed[a:b], percent)
+            got = [(c.node[x], what[a + x]) for x in c.members()] if give == "members" else [(c.node[x], c.node[y]) for x, y in c.forest(give == "every")]
+            keys += [key[a]] * len(got)
+            us += [u for u, _ in got]
+            vs += [v for _, v in got]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, us, vs)], names=["key", "u", "v"])
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        key, starts = cells(table) if len(table) else (None, [0])
+        # The last cell may go on in the next batch.
+        whole, held = table.slice(0, int(starts[-1])), table.slice(int(starts[-1]))
+        if len(whole):
+            yield found(whole, key[: len(whole)], starts[:-1])
+    if held is not None and len(held):
+        yield found(held, *cells(held))
+
+
 class Join:
     def __init__(self, docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT):
         self.docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
         self.k, self.percent, self.small = k, percent, boundary(percent)
+        self.seed = 0
 
     def _scan(self, texts: DataFrame, each, schema: str) -> DataFrame:
-        """each: (column of ids, sets) -> record batch."""
+        """each: sets -> record batch."""
         k = self.k
 
         def run(batches):
             for batch in batches:
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                for lo, sets in shingle_sets(batch.column("text"), k):
-                    yield from each(ids[lo : lo + len(sets)], sets)
+                for _, sets in shingle_sets(batch.column("text"), k):
+                    yield from each(sets)
 
-        return texts.select("doc_id", "text").mapInArrow(run, schema)
+        return texts.select("text").mapInArrow(run, schema)
 
-    def classes(self) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, n, a, b: the set's signature) of every row, and the elements that tasks found frequent."""
-        percent = self.percent
+    def classes(self) -> DataFrame:
+        """(doc_id, n, node, check: the set's signature, small and large sketch) of every row, and of kind 1 the elements that tasks found frequent (doc_id) and how often (n)."""
+        percent, seed = self.percent, self.seed
 
         def run(batches, k=self.k):
             import pyarrow as pa
@@ -176,145 +364,172 @@ class Join:
                 u, n = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
                 return u, np.bincount(n, np.concatenate([p[1] for p in pieces])).astype(np.int64)
 
-            names = ["doc_id", "n", "a", "b", "kind"]
+            def made(ids, n, node, check, bits, kind):
+                return pa.RecordBatch.from_arrays(
+                    [ids, *(pa.array(x, pa.int64()) for x in (n, node, check)), *(pa.array(x, pa.binary()) for x in zip(*bits)), pa.array(np.full(len(ids), kind, np.int8))],
+                    names=["doc_id", "n", "node", "check", "small", "large", "kind"],
+                )
+
             for batch in batches:
                 for lo, sets in shingle_sets(batch.column("text"), k):
-                    signed = [signature(s) for s in sets]
+                    signed = [signature(s, seed) for s in sets]
                     prefixes = [s[: prefix_length(len(s), percent)] for s in sets if len(s)]
                     if prefixes:
                         u, n = np.unique(np.concatenate(prefixes), return_counts=True)
                         pieces.append((u, n.astype(np.int64)))
                         held += len(u)
-                        if held > 1_000_000:
+                        if held > 500_000:
                             # Of what is summed up so far, elements seen once wait no longer; frequent ones come again.
                             u, n = counted()
                             pieces, held = [(u[n > 1], n[n > 1])], int((n > 1).sum())
-                    ids = batch.column("doc_id").slice(lo, len(sets)).cast(pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in signed], pa.int64()), pa.array([y for _, y in signed], pa.int64()), pa.array(np.zeros(len(sets), np.int8))], names=names)
-            if pieces:
-                u, n = counted()
-                u, n = u[n > FREQUENT], n[n > FREQUENT]
+                    yield made(batch.column("doc_id").slice(lo, len(sets)).cast(pa.int64()), [len(s) for s in sets], [a for a, _ in signed], [b for _, b in signed], [sketches(s) for s in sets], 0)
+            u, n = counted() if pieces else (np.zeros(0, np.int64),) * 2
+            u, n = u[n > FREQUENT], n[n > FREQUENT]
+            if len(u):
                 zero = np.zeros(len(u), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n), pa.array(zero), pa.array(zero), pa.array(np.ones(len(u), np.int8))], names=names)
+                yield made(pa.array(u), n, zero, zero, [(None, None)] * len(u), 1)
 
-        both = save(self.docs.mapInArrow(run, "doc_id long, n long, a long, b long, kind byte"), "nj-classes")
-        frequent = both.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(MAX_FREQUENT)
-        return both.filter("kind = 0").drop("kind"), frequent
+        return save(self.docs.mapInArrow(run, "doc_id long, n long, node long, check long, small binary, large binary, kind byte"), "nj-classes")
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
-        rows, frequent = self.classes()
-        heavy = np.sort(np.array([r.doc_id for r in frequent.select("doc_id").collect()], np.int64))
-        firsts = rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"))
-        firsts = save(firsts, "nj-firsts")
-        links = self._links(firsts, heavy)
-        # Rows of one doc_id with different sets are one document: they link.
-        own = rows.filter("n > 0").join(firsts.withColumnsRenamed({"a": "a_", "b": "b_", "n": "n_"}), (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")) & (F.col("n") == F.col("n_")))
-        members = save(own.select("doc_id", "n", "first"), "nj-members")
-        links = links.unionByName(members.filter("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
+        while True:
+            both = self.classes()
+            rows = both.filter("kind = 0")
+            firsts = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+            firsts = save(firsts, "nj-firsts")
+            if firsts.filter("lo <> hi").isEmpty():
+                break
+            # Two sets with one 64-bit name: other names.
+            self.seed += 1
+            drop(both, firsts)
+        top = both.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(MAX_FREQUENT).collect()
+        frequent, count = np.array([r.doc_id for r in top], np.int64), np.array([r.n for r in top], np.int64)
+        order = np.argsort(frequent)
+        links = self._links(rows, firsts, frequent[order], count[order])
+        # Different sets of one doc_id link.
+        own = rows.filter("n > 0").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u <> w").select("doc_id", "u")
+        if not own.isEmpty():
+            links = links.unionByName(rows.filter("n > 0").join(own, "doc_id").filter("u <> node").select("u", F.col("node").alias("v")).distinct())
         found = components(links)
-        out = rows.join(found, rows["doc_id"] == found["node"], "left")
+        least = found.join(firsts.select(F.col("node").alias("node_"), "first"), F.col("node") == F.col("node_")).select("node", "component", "first")
+        ids = least.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "component_")
+        linked_ = least.join(ids, F.col("component") == F.col("component_")).select(F.col("node").alias("node_"), "component_id")
+        alone = firsts.select(F.col("node").alias("node_"), F.col("first").alias("component_id")).join(found.select(F.col("node").alias("known")), F.col("node_") == F.col("known"), "left_anti")
+        out = rows.join(linked_.unionByName(alone), (F.col("node") == F.col("node_")) & (F.col("n") > 0), "left")
         shown = lambda c: F.when(c != NO_ID, c)
-        return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+        return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
-    def _links(self, firsts: DataFrame, heavy: np.ndarray) -> DataFrame:
-        percent, small = self.percent, self.small
+    def _texts_of(self, nodes: DataFrame, firsts: DataFrame) -> DataFrame:
+        """Texts of a class's first document (other sets may be among them, where a doc_id has several)."""
+        ids = nodes.join(firsts.select(F.col("node").alias("node_"), "first"), F.col("node") == F.col("node_")).select("first").distinct()
+        return self.docs.join(maybe_broadcast(ids), F.col("doc_id") == F.col("first"), "left_semi")
 
-        def each(ids, sets):
+    def _shared(self, rows: DataFrame, firsts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+        """key, node, what (size, position and kind of key), m, sketch: the lists of classes with possible links. Entries are shuffled once."""
+        percent, small, seed = self.percent, self.small, self.seed
+
+        def each(sets):
             import pyarrow as pa
 
-            got = [(doc, len(s), *part) for doc, s in zip(ids.tolist(), sets) for part in keys_of(s, heavy, percent, small)]
+            got = [(signature(s, seed)[0], len(s), *part) for s in sets for part in keys_of(s, frequent, rank, percent, small)]
             if got:
                 sizes = [len(keys) for _, _, keys, _, _ in got]
                 key, at = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
-                doc, n, kind = (np.repeat(np.array([g[i] for g in got], np.int64), sizes) for i in (0, 1, 4))
+                node, n, kind = (np.repeat(np.array([g[i] for g in got], np.int64), sizes) for i in (0, 1, 4))
                 # Place and size in one number: fewer bytes to shuffle.
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(n << 24 | at << 1 | kind)], names=["key", "doc", "what"])
-
-        entries = self._scan(self.docs, each, "key long, doc long, what long")
-        lists = entries.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).filter("hub <> top").select(F.col("key").alias("key_"), "hub")
-        first = firsts.select(F.col("first").alias("first_")).distinct()
-        shared = entries.join(lists, F.col("key") == F.col("key_")).join(first, F.col("doc") == F.col("first_"), "left_semi")
-        shared = save(
-            shared.select("key", "doc", "hub", F.shiftright("what", 24).alias("n"), F.shiftright("what", 1).bitwiseAND(F.lit((1 << 23) - 1)).alias("at"), F.col("what").bitwiseAND(F.lit(1)).alias("kind")).distinct(),
-            "nj-shared",
-        )
-        del entries, lists
-        release(self.docs.sparkSession)
-        prefixes = save(
-            shared.groupBy("doc").agg(F.collect_set(F.when(F.col("kind") == 0, F.col("key"))).alias("keys"), F.min("n").alias("least"), F.max("n").alias("most")),
-            "nj-prefixes",
-        )
-        # The first round's hub is a list's least doc.
-        links = self._verified(shared.filter("doc <> hub").select(F.col("hub").alias("u"), F.col("doc").alias("v")), prefixes, "nj-links-0")
-        seen = links
-        for r in range(1, HUB_ROUNDS + 1):
-            labelled = self._labelled(shared, seen, r)
-            hub = F.min(F.struct(F.xxhash64("doc", F.lit(r)).alias("by"), "doc", "label")).alias("hub_")
-            left = save(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).filter("lo <> hi"), "nj-left")
-            if left.isEmpty():
-                break
-            open_ = labelled.join(left.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_"))
-            if r < HUB_ROUNDS:
-                pairs = open_.filter(F.col("label") != F.col("hub_.label")).select(F.least("doc", "hub_.doc").alias("u"), F.greatest("doc", "hub_.doc").alias("v"))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n << 24 | at << 1 | kind)], names=["key", "node", "what"])
+
+        one = firsts.select("node", F.col("first").alias("first_"))
+        entries = self._scan(self.docs.join(maybe_broadcast(one.select("first_").distinct()), F.col("doc_id") == F.col("first_"), "left_semi"), each, "key long, node long, what long")
+        entries = entries.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: fitting(batches, percent), "key long, node long, what long")
+        lists = entries
+        # A text comes once from each row of its doc_id.
+        lists = save(lists.dropDuplicates(["key", "node", "what"]), "nj-distinct")
+        counted = lists.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1")
+        sketched = self._sketched(counted, rows, one, "small").withColumns({"cell": F.lit(0).cast("long"), "label": F.col("node"), "failed": F.lit(None).cast("array<long>")})
+        short = self._cells(sketched.filter(F.col("m") <= CELL), "members").select("key", F.col("u").alias("node"), F.col("v").alias("what"))
+        stay = save(short.unionByName(counted.filter(F.col("m") > CELL).select("key", "node", "what")), "nj-stay")
+        counted = stay.withColumn("m", F.count("*").over(Window.partitionBy("key")))
+        out = save(self._sketched(counted, rows, one, "large"), "nj-shared")
+        drop(lists, stay)
+        return out
+
+    def _sketched(self, entries: DataFrame, rows: DataFrame, one: DataFrame, size: str) -> DataFrame:
+        brought = rows.filter("n > 0").select(F.col("node").alias("node_"), F.col("doc_id").alias("id_"), F.col(size).alias("sketch"))
+        brought = brought.join(one.withColumnRenamed("node", "own_"), (F.col("node_") == F.col("own_")) & (F.col("id_") == F.col("first_")))
+        brought = brought.join(entries.select("node").distinct(), F.col("node_") == F.col("node"), "left_semi").select("node_", "sketch").dropDuplicates(["node_"])
+        return entries.join(brought, F.col("node") == F.col("node_")).drop("node_")
+
+    def _cells(self, entries: DataFrame, give: str) -> DataFrame:
+        percent = self.percent
+        dealt = entries.select("key", F.col("cell").cast("long").alias("cell"), "node", "what", "sketch", "label", "failed").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+        return dealt.mapInArrow(lambda batches: possible_links(batches, percent, give), "key long, u long, v long")
+
+    def _links(self, rows: DataFrame, firsts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+        """Verified links (u, v) of classes that connect all that links connect."""
+        shared = self._shared(rows, firsts, frequent, rank)
+        spark = shared.sparkSession
+        long_ = not shared.filter(F.col("m") > CELL).isEmpty()
+        links = spark.createDataFrame([], "u long, v long")
+        failed = spark.createDataFrame([], "u long, v long")
+        edges = None
+        for r in range(1, ROUNDS + 1):
+            whole, every = r > APART or not long_, r == ROUNDS
+            now = shared
+            if edges is not None:
+                # Lists without a possible link between components are done, but long ones that weren't compared as a whole.
+                open_ = edges.select(F.col("key").alias("key_")).distinct()
+                if long_ and r <= APART + 1:
+                    open_ = open_.unionByName(shared.filter(F.col("m") > CELL).select(F.col("key").alias("key_"))).distinct()
+                now = shared.join(open_, F.col("key") == F.col("key_"), "left_semi")
+                found = components(links).withColumnRenamed("node", "node_")
+                now = now.join(found, F.col("node") == F.col("node_"), "left").withColumn("label", F.coalesce("component", "node")).drop("node_", "component")
+                tried = failed.groupBy(F.col("v").alias("node_")).agg(F.collect_set("u").alias("failed"))
+                now = now.join(tried, F.col("node") == F.col("node_"), "left").drop("node_")
             else:
-                one = save(open_.select("key", "doc", "label", "n", "at", "kind"), "nj-open")
-                two = one.toDF(*[f"{c}_2" for c in one.columns])
-                low, high = F.least("n", "n_2"), F.greatest("n", "n_2")
-                overlap = F.when((F.col("kind") == 1) | (F.col("kind_2") == 1), low).otherwise(F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")))
-                pairs = one.join(
-                    two,
-                    (F.col("key") == F.col("key_2")) & (F.col("label") < F.col("label_2")) & (100 * low >= percent * high) & ((100 + percent) * overlap >= percent * (F.col("n") + F.col("n_2"))),
-                ).select(F.least("doc", "doc_2").alias("u"), F.greatest("doc", "doc_2").alias("v"))
-            more = self._verified(pairs, prefixes, f"nj-links-{r}")
-            seen = seen.unionByName(more)
-        return seen
-
-    def _labelled(self, shared: DataFrame, links: DataFrame, r: int) -> DataFrame:
-        found = components(links)
-        out = shared.join(found, F.col("doc") == F.col("node"), "left")
-        return save(out.select("key", "doc", "n", "at", "kind", F.coalesce("component", "doc").alias("label")), f"nj-labelled-{r}")
+                now = now.withColumns({"label": F.col("node"), "failed": F.lit(None).cast("array<long>")})
+            blocks = F.ceil(F.col("m") / CELL)
+            own = F.pmod(F.xxhash64("node", F.lit(min(r, APART + 1))), blocks)
+            if whole and long_:
+                other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+                now = now.withColumns({"own": own, "blocks": blocks}).withColumn("other", other).withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+            else:
+                now = now.withColumn("cell", own)
+            fresh = save(self._cells(now, "every" if every else "forest"), "nj-edges")
+            if edges is not None:
+                drop(edges)
+            edges = fresh
+            if whole and edges.isEmpty():
+                break
+            pairs = edges.select("u", "v").distinct() if every else edges.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+            judged = self._verified(pairs, firsts)
+            good, bad = judged.filter("linked").select("u", "v"), judged.filter("NOT linked").select("u", "v")
+            links = links.unionByName(good)
+            failed = failed.unionByName(bad)
+        drop(shared, edges)
+        return links
+
+    def _verified(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+        """u, v, linked: judged by their whole sets, which are made of the texts of these pairs only."""
+        seed = self.seed
+        pairs = save(pairs, "nj-pairs")
+        wanted = save(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nj-wanted")
 
-    def _sets(self, texts: DataFrame) -> DataFrame:
-        def each(ids, sets):
+        def each(sets):
             import pyarrow as pa
 
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), listed], names=["id", "elements"])
-
-        # A doc_id with several sets has the rows of all; links then hold for any of them.
-        return self._scan(texts, each, "id long, elements array<long>")
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s, seed)[0] for s in sets], pa.int64()), listed], names=["id", "elements"])
 
-    def _possible(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """Pairs whose sizes and prefixes allow a link.
-
-        What two sets share beyond the elements in both prefixes is in the rest of the
-        one whose prefix ends first, so that is at most the longer rest. This holds for
-        sets whose prefixes are listed; those that go by subsets alone pass.
-        """
-        percent = self.percent
-        of = lambda i: prefixes.select(F.col("doc").alias(f"doc{i}"), F.col("keys").alias(f"keys{i}"), F.col("least").alias(f"least{i}"), F.col("most").alias(f"most{i}"))
-        d = pairs.distinct().join(of(1), F.col("u") == F.col("doc1")).join(of(2), F.col("v") == F.col("doc2"))
-        sized = (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
-        rest = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")
-        most = F.size(F.array_intersect("keys1", "keys2")) + F.greatest(rest("most1"), rest("most2"))
-        enough = (100 + percent) * most >= percent * (F.col("least1") + F.col("least2"))
-        small = (F.col("least1") <= self.small) | (F.col("least2") <= self.small)
-        return d.filter(sized & (small | enough)).select("u", "v")
-
-    def _verified(self, pairs: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
-        """Pairs that link, by their whole sets, which are made of the texts of possible pairs only."""
-        pairs = save(self._possible(pairs, prefixes), f"{name}-possible")
-        wanted = maybe_broadcast(save(pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct(), f"{name}-wanted"))
-        sets = save(self._sets(self.docs.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")), f"{name}-sets")
+        sets = save(self._scan(self._texts_of(wanted, firsts), each, "id long, elements array<long>").dropDuplicates(["id"]), "nj-sets")
         one, two = sets.select(F.col("id").alias("id1"), F.col("elements").alias("e1")), sets.select(F.col("id").alias("id2"), F.col("elements").alias("e2"))
         joined = pairs.join(one, F.col("u") == F.col("id1")).join(two, F.col("v") == F.col("id2"))
         shared = F.size(F.array_intersect("e1", "e2"))
-        union = F.size("e1") + F.size("e2") - shared
-        links = save(joined.filter((F.size("e1") > 0) & (100 * shared >= self.percent * union)).select("u", "v").distinct(), name)
-        release(self.docs.sparkSession)
-        return links
+        out = save(joined.select("u", "v", (100 * shared >= self.percent * (F.size("e1") + F.size("e2") - shared)).alias("linked")), "nj-links")
+        drop(pairs, wanted, sets)
+        return out
 
 
 def linked(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
