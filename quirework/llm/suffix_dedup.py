@@ -11,7 +11,9 @@ occurrence standing for all. The distinct pieces of a bucket of anchors are a
 collection for ``suffix_order``: each round inserts one symbol of every piece, from
 the right, into the Burrows-Wheeler transform and updates common prefixes with it;
 the columns are read and written in sequence, in files where they exceed memory.
-Neighbours with a common prefix of ``LENGTH`` are equal strings.
+Neighbours with a common prefix of ``LENGTH`` are equal strings. Before that, what no
+string of a bucket shares its hash with is cut off the pieces: equal strings have equal
+hashes, and what is left is compared byte by byte.
 
 An anchor with more than ``MAX_PIECES`` different contexts (a common line) is dealt
 out string by string instead: its equal strings meet by hash, with partial minima, so
@@ -35,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, release, save
+from .common import maybe_broadcast, save
 from .numtext import CHUNK, cumulative, mixed, raw, span_hashes
 
 LENGTH = 100
@@ -182,6 +184,29 @@ def repeats(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, length: int
     return doc[of[later]], at[later]
 
 
+def repeated_parts(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(piece, bytes, offset in the piece) of the runs of strings whose hash another string of the pieces has."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    if len(data) < length:
+        return np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(pieces)), sizes)
+    at = np.arange(len(data) - length + 1)
+    at = at[at + length <= ends[of[at]]]
+    hashes = span_hashes(cumulative(data), at, at + length)
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    again = np.zeros(len(at), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    at = at[again]
+    if not len(at):
+        return np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+    first = np.concatenate([[True], (np.diff(at) != 1) | (of[at[1:]] != of[at[:-1]])])
+    begin, end = at[first], at[np.append(first[1:], True)] + length
+    return of[begin], [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())], begin - (ends - sizes)[of[begin]]
+
+
 def merged(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of (start, end) rows; runs that touch are one."""
     if not len(spans):
@@ -240,7 +265,6 @@ class Repeats:
         again = pieces.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("anchor").alias("anchor_"))
         shared = save(pieces.join(again, F.col("anchor") == F.col("anchor_")).select("anchor", "piece", "doc", "span"), "sd-shared")
         del pieces, again
-        release(spark)
         # Struct order is document, then start.
         classes = save(shared.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "span")).alias("first"), F.count("*").alias("n")), "sd-classes")
         here = classes.filter("n > 1").select(F.col("anchor").alias("anchor_"), F.col("piece").alias("piece_"), F.col("first.doc").alias("doc_"), F.col("first.span").alias("span_"))
@@ -248,12 +272,12 @@ class Repeats:
         equal = shared.join(here, (F.col("anchor") == F.col("anchor_")) & (F.col("piece") == F.col("piece_")) & ((F.col("doc") != F.col("doc_")) | (F.col("span") != F.col("span_"))))
         equal = save(equal.select("doc", start.alias("start"), end.alias("end")), "sd-equal")
         content = self._content(classes)
-        release(spark)
         total = content.filter("not alone").agg(F.sum(F.octet_length("content"))).first()[0] or 0
         buckets = max(1, -(-total // BUCKET_BYTES))
 
         def compare(key, pdf):
-            doc, at = repeats([bytes(x) for x in pdf.content], pdf.doc.to_numpy(), pdf.start.to_numpy(), length)
+            of, parts, offset = repeated_parts([bytes(x) for x in pdf.content], length)
+            doc, at = repeats(parts, pdf.doc.to_numpy()[of], pdf.start.to_numpy()[of] + offset, length)
             rows = []
             for d in np.unique(doc):
                 own = at[doc == d]
