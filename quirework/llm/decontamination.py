@@ -54,8 +54,8 @@ class Walks(NamedTuple):
 
 #: An item has the walks of every tier that it isn't too long for.
 TIERS = (Walks(2**31, STEPS, SAMPLED, EARLY, REPEATS), Walks(112, 28, 11, 4, 5), Walks(72, 24, 10, 4, 8))
-#: Bytes of an item that many places are first held against at a time.
-HEAD = 63
+#: Bytes of a part of an item, as many places are first held against parts at a time.
+PART = 63
 #: Bytes of item text in one block.
 BLOCK_BYTES = 4_000_000
 
@@ -206,6 +206,9 @@ class ShortItems:
 class Items:
     """A block of items: folded texts, and the keys of their walks for each repetition."""
 
+    #: Places that are held against a part at a time.
+    PLACES = 10_000
+
     def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY):
         import pyarrow as pa
 
@@ -214,13 +217,13 @@ class Items:
         self.ids = ids
         self.texts = [data[a:b].tobytes().strip() for a, b in zip(at[:-1], at[1:])]
         self.short = ShortItems([i for i, t in enumerate(self.texts) if 0 < len(t) < SHORT], self.texts, similarity)
-        # Of items that have walks of several tiers, and so many places, the heads go first.
-        self.masks, self.heads = np.zeros((len(self.texts), 256), np.uint64), np.zeros(len(self.texts), np.int64)
-        for i, t in enumerate(self.texts):
-            if SHORT <= len(t) <= TIERS[1].longest:
-                self.heads[i] = min(HEAD, len(t))
-                for j, c in enumerate(t[:HEAD]):
-                    self.masks[i, c] |= np.uint64(1 << j)
+        # Parts of items that one word of bits can hold; parts of item i are first[i] to first[i + 1].
+        parts = [(k, t[k : k + PART]) for t in self.texts if len(t) >= SHORT for k in range(0, len(t), PART)]
+        self.first = np.concatenate([[0], np.cumsum([-(-len(t) // PART) if len(t) >= SHORT else 0 for t in self.texts])]).astype(np.int64)
+        self.masks, self.offsets, self.lengths = np.zeros((len(parts), 256), np.uint64), np.array([k for k, _ in parts], np.int64), np.array([len(t) for _, t in parts], np.int64)
+        for i, (_, t) in enumerate(parts):
+            for j, c in enumerate(t):
+                self.masks[i, c] |= np.uint64(1 << j)
         self.tables = []
         for n, tier in enumerate(TIERS):
             self._add(tier, sum(t.repeats for t in TIERS[:n]))
@@ -251,19 +254,24 @@ class Items:
             self.tables.append((moves, sampled, tier.early, early, key[order], np.array(item, np.int64)[order], np.array(offset, np.int64)[order]))
 
     def _possible(self, data: np.ndarray, at: np.ndarray, found: np.ndarray, similarity: float) -> np.ndarray:
-        """Of places (row, item, place) those where the item's head alone has no more edits than the item may have."""
-        ok = np.ones(found.shape[1], bool)
-        some = np.flatnonzero(self.heads[found[1]])
+        """Of places (row, item, place) those where the least edits of the item's parts, each near its place, add up to no more than the item may have. Misses no hit: a hit's edits are edits of its parts."""
         full = np.array([len(t) for t in self.texts], np.int64)
-        for lo in range(0, len(some), ShortItems.WINDOWS):
-            mine = some[lo : lo + ShortItems.WINDOWS]
-            row, item, place = found[:, mine]
-            slack = full[item] // 4 + 2
-            spot = (place - slack)[:, None] + np.arange(int((self.heads[item] + 2 * slack).max()))
-            inside = (spot >= at[row][:, None]) & (spot < at[row + 1][:, None])
-            texts = np.where(inside, data[np.clip(spot, 0, len(data) - 1)], 0)
-            ok[mine] = edit_distances_in(self.masks, self.heads, item, texts) <= ((1 - similarity) * full[item] + 1e-9).astype(np.int64)
-        return found[:, ok]
+        most = ((1 - similarity) * full + 1e-9).astype(np.int64)[found[1]]
+        left, spent = np.arange(found.shape[1]), np.zeros(found.shape[1], np.int64)
+        for j in range(int(np.diff(self.first).max(initial=0))):
+            # Items of fewer parts have been held against all of theirs.
+            mine = left[self.first[found[1, left]] + j < self.first[found[1, left] + 1]]
+            for lo in range(0, len(mine), self.PLACES):
+                k = mine[lo : lo + self.PLACES]
+                row, item, place = found[:, k]
+                part = self.first[item] + j
+                slack = full[item] // 4 + 2
+                begin = place + self.offsets[part] - slack
+                spot = begin[:, None] + np.arange(int((self.lengths[part] + 2 * slack).max()))
+                texts = np.where((spot >= at[row][:, None]) & (spot < at[row + 1][:, None]), data.take(spot, mode="clip"), 0)
+                spent[k] += edit_distances_in(self.masks, self.lengths, part, texts)
+            left = left[spent[left] <= most[left]]
+        return found[:, left]
 
     def hits(self, data: np.ndarray, at: np.ndarray, similarity: float) -> list[tuple[int, int, int]]:
         """(row, item, distance) of the folded texts of a chunk."""
@@ -286,15 +294,17 @@ class Items:
             all_ = all_[:, np.lexsort((all_[2], all_[1], all_[0]))]
             all_ = all_[:, np.concatenate([[True], (all_[:, 1:] != all_[:, :-1]).any(axis=0)])[: all_.shape[1]]]
             row, item, place = self._possible(data, at, all_, similarity)
-            last = None
-            for r, i, p in zip(row.tolist(), item.tolist(), place.tolist()):
+            # Windows of one item that overlap are one.
+            slack = np.array([len(t) // 4 + 2 for t in self.texts], np.int64)[item]
+            new = np.ones(len(place), bool)
+            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > 2 * slack[1:])
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(place))[: len(heads)] - 1
+            for r, i, p, q in zip(row[heads].tolist(), item[heads].tolist(), place[heads].tolist(), place[tails].tolist()):
                 text = self.texts[i]
-                slack = len(text) // 4 + 2
-                if last and last[:2] == (r, i) and (p - last[2] <= slack // 2 or best.get((r, i)) == 0):
-                    continue  # within the window just verified
-                last = (r, i, p)
+                extra = len(text) // 4 + 2
                 most = int((1 - similarity) * len(text) + 1e-9)
-                a, b = max(int(at[r]), p - slack), min(int(at[r + 1]), p + len(text) + slack)
+                a, b = max(int(at[r]), p - extra), min(int(at[r + 1]), q + len(text) + extra)
                 distance, _ = edit_distance_in(text, data[a:b].tobytes(), most)
                 if distance <= most:
                     best[r, i] = min(distance, best.get((r, i), distance))
