@@ -86,3 +86,52 @@ def syn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " ").alias("text"), F.min_by("text", "word_no").alias("first_word"), F.max_by("text", "word_no").alias("last_word"),
     )
     return d.withColumns({"column_no": F.lit(0), "conf": F.lit(None).cast("double")})
+
+
+def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty parts a column: four times a short line (bold, centred, a chapter's label or small print) and four full ones."""
+    d = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
+    i = (F.col("k") % 20).cast("int")
+    d = d.withColumns({"doc_id": F.expr("CAST(k div 20 AS STRING)"), "line_no": i, "block": F.floor(i / 5).cast("int"), "j": i % 5})
+    kind = F.when(F.col("j") > 0, -1).otherwise((F.expr("k div 20") + F.col("block")) % 4)
+    d = d.withColumn("kind", kind.cast("int"))
+    x0 = F.when(F.col("kind").isin(1, 2, 3), 200.0).otherwise(30.0)
+    x1 = F.when(F.col("kind") == 0, 150.0).when(F.col("kind").isin(1, 2, 3), 300.0).otherwise(470.0)
+    y0 = (100 + 20 * F.col("line_no") + 30 * F.col("block") + F.when(F.col("j") > 0, 12).otherwise(0)).cast("double")
+    text = F.when(F.col("kind") == 2, F.concat(F.lit("Chapter "), F.col("p_partkey"))).otherwise(F.col("p_name"))
+    words = F.split(text, " ")
+    return d.select(
+        "doc_id", F.lit(0).alias("page_index"), F.lit(0).alias("column_no"), "line_no", text.alias("text"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 12).alias("y1"), F.when(F.col("kind") == 3, 8.0).otherwise(12.0).alias("font_size"),
+        (F.col("kind") == 0).alias("bold"), F.lit(None).cast("double").alias("conf"), F.element_at(words, 1).alias("first_word"), F.element_at(words, -1).alias("last_word"),
+    )
+
+
+def furnished_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty parts a book of five pages: a header, body, a page number; a rule on each second page, a note in the margin on each third."""
+    d = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
+    d = d.withColumns({"doc_id": F.expr("CAST(k div 60 AS STRING)"), "page_index": F.expr("CAST((k % 60) div 12 AS INT)"), "line_no": (F.col("k") % 12).cast("int")})
+    n, page = F.col("line_no"), F.col("page_index")
+    kind = F.when(n == 0, "header").when(n == 11, "number").when((n == 1) & (page == 1), "rule").when((n == 10) & (page == 2), "note").otherwise("body")
+    d = d.withColumn("kind", kind)
+    pick = lambda header, number, rule, note, body: F.when(F.col("kind") == "header", header).when(F.col("kind") == "number", number).when(F.col("kind") == "rule", rule).when(F.col("kind") == "note", note).otherwise(body)
+    text = pick(F.lit("The Running Title of a Book"), (page + 41).cast("string"), F.lit("_"), F.lit("note"), F.col("p_name"))
+    y0 = pick(F.lit(30.0), F.lit(780.0), F.lit(100.0), F.lit(50.0), (150 + 20 * n).cast("double"))
+    lit = lambda *v: pick(*map(F.lit, v))
+    d = d.select(
+        "doc_id", "page_index", "line_no", text.alias("text"), lit(60.0, 290.0, 60.0, 2.0, 60.0).alias("x0"), y0.alias("y0"), lit(300.0, 310.0, 540.0, 20.0, 540.0).alias("x1"),
+        (y0 + F.when(F.col("kind") == "rule", 1).otherwise(12)).alias("y1"), F.lit(600.0).alias("width_pt"), F.lit(800.0).alias("height_pt"),
+    )
+    return d.join(d.groupBy("doc_id").agg(F.count_distinct("page_index").alias("n_pages")), "doc_id")
+
+
+def name_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of part names as glyphs of pages of ten names; some tiny, some without width, some control characters."""
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey"), F.posexplode(F.split(F.col("p_name"), "")).alias("i", "ch")).filter("ch <> ''")
+    no = F.col("p_partkey") * 1000 + F.col("i")
+    ch = F.when(no % 17 == 0, F.lit("\u0002")).when(no % 19 == 0, F.lit("\u0001")).otherwise(F.col("ch"))
+    x0 = (6.0 * F.col("i")).cast("double")
+    y0 = (20.0 * (F.col("p_partkey") % 10)).cast("double")
+    return d.select(
+        F.expr("CAST(p_partkey div 10 AS STRING)").alias("doc_id"), F.lit(0).alias("page_index"), no.alias("glyph_no"), ch.alias("ch"), x0.alias("x0"), y0.alias("y0"), (x0 + F.when(no % 13 == 0, 0.0).otherwise(5.0)).alias("x1"), (y0 + 10).alias("y1"),
+        F.when(no % 11 == 0, 1.0).otherwise(8.0 + F.col("p_partkey") % 3).cast("double").alias("size"), (F.col("p_partkey") % 2 == 0).alias("bold"),
+    )

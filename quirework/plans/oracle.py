@@ -82,7 +82,52 @@ _mark = "CASE WHEN line_no % 3 = 0 THEN '# ' WHEN line_no % 3 = 1 THEN '\"<&' EL
 _pct = "CAST(CAST(round_even({0} * 100, 0) AS INTEGER) AS VARCHAR)"
 _digits = "regexp_replace(t, '[^0-9]', '', 'g')"
 
+_hl = (
+    "pk AS (SELECT p_partkey AS k, p_partkey, p_name FROM part), pj AS (SELECT *, CAST(k // 20 AS VARCHAR) AS doc_id, CAST(k % 20 AS INTEGER) AS i, CAST((k % 20) // 5 AS INTEGER) AS block, CAST((k % 20) % 5 AS INTEGER) AS j FROM pk), "
+    "pt AS (SELECT *, CASE WHEN j > 0 THEN -1 ELSE (k // 20 + block) % 4 END AS kind FROM pj), "
+    "hl AS (SELECT doc_id, i, j, block, kind, CASE WHEN kind = 2 THEN 'Chapter ' || p_partkey ELSE p_name END AS text, CASE WHEN kind IN (1, 2, 3) THEN 200.0 ELSE 30.0 END AS x0, CASE WHEN kind = 0 THEN 150.0 WHEN kind IN (1, 2, 3) THEN 300.0 ELSE 470.0 END AS x1, "
+    "100.0 + 20 * i + 30 * block + CASE WHEN j > 0 THEN 12 ELSE 0 END AS y0, CASE WHEN kind = 3 THEN 8.0 ELSE 12.0 END AS fs FROM pt)"
+)
+HEADINGS = (
+    f"{_hl}, hs AS (SELECT doc_id, median(fs) AS fs, mode(x0) AS margin, list_sort(list(x1))[CAST(round((count(*) - 1) * 0.9) AS INTEGER) + 1] AS edge FROM hl GROUP BY doc_id), "
+    "hd AS (SELECT doc_id, median(step) AS lead_ FROM (SELECT doc_id, y0 - lag(y0) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM hl) WHERE step > 0 GROUP BY doc_id), "
+    "hp AS (SELECT doc_id, block * 2 + CASE WHEN j > 0 THEN 1 ELSE 0 END AS para_no, count(*) AS n, string_agg(text, ' ' ORDER BY i) AS text, min(y0) AS y0, max(y0) AS y_last, min(x0) AS x0, max(x1) AS x1, min(fs) AS own, bool_or(kind = 0) AS bold FROM hl GROUP BY ALL), "
+    "hg AS (SELECT hp.*, hs.fs AS fs, margin, greatest(edge - margin, 1.0) AS measure, x0 - margin AS lg, edge - x1 AS rg, "
+    "coalesce(y0 - lag(y_last) OVER w > 1.4 * lead_, true) AS before, coalesce(lead(y0) OVER w - y0 > 1.25 * lead_, true) AS after_ FROM hp JOIN hs USING (doc_id) JOIN hd USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY para_no)), "
+    "hc AS (SELECT *, abs(lg - rg) < 0.12 * measure AND lg > 1.5 * fs AND rg > 1.5 * fs AS mid FROM hg)"
+)
+_fk = (
+    "fk AS (SELECT p_partkey AS k, p_name FROM part), fp AS (SELECT *, CAST(k // 60 AS VARCHAR) AS doc_id, CAST((k % 60) // 12 AS INTEGER) AS page_index, CAST(k % 12 AS INTEGER) AS line_no FROM fk), "
+    "fl AS (SELECT *, CASE WHEN line_no = 0 THEN 'header' WHEN line_no = 11 THEN 'number' WHEN line_no = 1 AND page_index = 1 THEN 'rule' WHEN line_no = 10 AND page_index = 2 THEN 'note' ELSE 'body' END AS kind FROM fp), "
+    "fb AS (SELECT doc_id, count(DISTINCT page_index) AS n_pages FROM fl GROUP BY doc_id), "
+    "fr AS (SELECT fl.*, CASE kind WHEN 'header' THEN 'The Running Title of a Book' WHEN 'number' THEN CAST(page_index + 41 AS VARCHAR) WHEN 'rule' THEN '_' WHEN 'note' THEN 'note' ELSE p_name END AS text, "
+    # A header repeats from four pages on; what stands above a page's rule is furniture, whatever it is.
+    "CASE WHEN kind = 'rule' OR kind = 'note' THEN 'Chrome' WHEN kind = 'header' AND max(CASE WHEN kind = 'rule' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_index) = 1 THEN 'Chrome' WHEN kind = 'header' AND n_pages >= 4 THEN 'RunningHeader' WHEN kind = 'number' THEN 'PageNumber' END AS reason FROM fl JOIN fb USING (doc_id)), "
+    "fs AS (SELECT doc_id, page_index, line_no, reason, CASE WHEN kind = 'rule' THEN '(rule of 480 pt)' ELSE text END AS shown, max(CASE WHEN reason = 'PageNumber' THEN text END) OVER (PARTITION BY doc_id, page_index) AS printed_label FROM fr)"
+)
+_boxes = (
+    "bq AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, CAST(l_linenumber AS DOUBLE) AS n FROM lineitem), bx AS (SELECT l_orderkey, l_linenumber, q, n, least(q * 10, n * 80) AS x0, greatest(q * 10, n * 80) AS x1, least(n * 100, q * 12) AS y0, greatest(n * 100, q * 12) AS y1 FROM bq), "
+    "bs AS (SELECT *, greatest(0.6 * CASE WHEN n % 4 > 0 THEN least(q % 7, n % 4) ELSE q % 7 END, 0.5) AS half, (y0 + y1) / 2 AS middle FROM bx)"
+)
+_glyphs = (
+    "gc AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c, generate_subscripts(string_split(p_name, ''), 1) - 1 AS i FROM part), gn AS (SELECT *, p_partkey * 1000 + i AS no FROM gc), "
+    "gu AS (SELECT CAST(p_partkey // 10 AS VARCHAR) AS doc_id, no AS glyph_no, c = ' ' AND no % 17 <> 0 AND no % 19 <> 0 AS blank, CASE WHEN no % 11 = 0 THEN 1.0 ELSE 8.0 + p_partkey % 3 END AS size FROM gn "
+    "WHERE NOT (no % 19 = 0 AND no % 17 <> 0) AND ((c = ' ' AND no % 17 <> 0) OR (no % 11 <> 0 AND no % 13 <> 0))), "
+    "gm AS (SELECT doc_id, greatest(coalesce(median(size) FILTER (NOT blank), 0), 1) AS med, count(*) FILTER (blank) * 12 < count(*) FILTER (NOT blank) AS missing FROM gu GROUP BY doc_id)"
+)
+_choice = "CASE WHEN n >= 120 THEN 'Text' WHEN n = 0 THEN 'Ocr' ELSE 'Compare' END"
+
 SQL: dict[str, str] = {
+    "syn_headings": f"WITH {HEADINGS} SELECT doc_id, 0 AS page_index, CAST(para_no AS BIGINT) AS para_no, CAST(n AS INTEGER) AS n_lines, text, x0 > margin + 0.55 * fs AS starts_indented, CAST(coalesce(CASE WHEN n > 1 OR x1 - x0 >= 0.85 * measure THEN NULL WHEN bold AND before AND after_ THEN 2 WHEN own < 0.75 * fs THEN NULL WHEN mid AND (before OR after_) THEN CASE WHEN starts_with(text, 'Chapter ') THEN 1 ELSE 2 END END, 0) AS INTEGER) AS heading_level FROM hc",
+    "syn_strip": f"WITH {_fk} SELECT doc_id, page_index, line_no, reason, shown, printed_label FROM fs",
+    "strip_summary": f"WITH {_fk} SELECT CASE WHEN reason = 'PageNumber' THEN '(page numbers)' ELSE shown END AS text, reason, count(*) AS n FROM fs WHERE reason IS NOT NULL GROUP BY ALL",
+    "geometry_boxes": f"WITH {_boxes} SELECT l_orderkey, l_linenumber, x0, y0, x1, y1, x1 - x0 AS width, y1 - y0 AS height, (x0 + x1) / 2 AS centre, least(x1, 300.0) - greatest(x0, 100.0) AS overlap, 800.0::DOUBLE - y0 AS flipped, round(middle - half, 6) AS band_top, round(middle + half, 6) AS band_bottom, l_orderkey % 900 >= 600 AS bold, CASE WHEN l_linenumber > 3 THEN 'iv' ELSE CAST(l_linenumber + 1 AS VARCHAR) END AS label, y0 <= 80 AS in_top, y1 >= 450 AS in_bottom FROM bs",
+    "robust_stats": "WITH v AS (SELECT l_orderkey, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem), m AS (SELECT l_orderkey, median(v) AS m FROM v GROUP BY l_orderkey), o AS (SELECT v.*, abs(v - m) AS off_ FROM v JOIN m USING (l_orderkey)), d AS (SELECT l_orderkey, median(off_) AS mad FROM o GROUP BY l_orderkey) SELECT l_orderkey, round(any_value(mad), 4) AS mad, round(median(v) FILTER (mad <= 0 OR off_ <= 4 * mad), 4) AS typical FROM o JOIN d USING (l_orderkey) GROUP BY l_orderkey",
+    "usable_glyphs": f"WITH {_glyphs} SELECT doc_id, glyph_no, blank, round(CAST(med AS DOUBLE), 4) AS med, round(CAST(med AS DOUBLE) * CASE WHEN missing THEN 0.28 ELSE 1.1 END, 4) AS gap_limit FROM gu JOIN gm USING (doc_id)",
+    "decision_totals": f"WITH x AS (SELECT source, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END AS n FROM documents), y AS (SELECT source, {_choice} AS d FROM x) SELECT source, count(*) FILTER (d = 'Text') AS text, count(*) FILTER (d = 'Ocr') AS ocr, count(*) FILTER (d = 'Compare') AS compare, count(*) FILTER (d = 'Empty') AS empty FROM y GROUP BY source",
+    "settled_pages": f"WITH x AS (SELECT source, CAST(doc_id AS INTEGER) AS p, coalesce(text, '') AS t, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END AS n FROM documents), y AS (SELECT *, {_choice} AS d, CASE WHEN p % 10 <> 0 THEN length(t) END AS a, CASE WHEN p % 3 <> 0 THEN CASE WHEN p % 2 = 0 THEN 2 * length(t) ELSE length(left(t, 5)) END END AS b FROM x), "
+    "z AS (SELECT *, CASE d WHEN 'Ocr' THEN coalesce(b, 0) > 0 WHEN 'Compare' THEN coalesce(b, 0) > greatest(coalesce(a, 0) * 1.5, 1) ELSE false END AS won FROM y) SELECT source AS source_name, p AS page_index, CASE WHEN won THEN 'Ocr' ELSE 'Text' END AS source, CASE WHEN won THEN b ELSE a END AS chars FROM z WHERE CASE WHEN won THEN b ELSE a END IS NOT NULL",
+    "cached_corrections": f"WITH {LINES}, k AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, text, sha256(sha256('1' || chr(0) || 'prompt') || chr(0) || text) AS key FROM dl WHERE trim(text) <> ''), c AS (SELECT DISTINCT key, 'fixed: ' || text AS reply FROM k WHERE line_no % 2 = 0) SELECT doc_id, line_no, key, reply IS NOT NULL AS cached, coalesce(reply, text) AS text FROM k LEFT JOIN c USING (key)",
     "normalise_spaces": f"SELECT doc_id, regexp_replace(regexp_replace({TRIM.format(chr(39).join(['replace(text, ', ', ', ', ', '  , ', ')']))}, '\\s+', ' ', 'g'), ' ([,.;:!?’])', '\\1', 'g') AS clean FROM documents",
     "line_signature": f"WITH {SIGNED} SELECT doc_id, line_no, signature FROM sg",
     "repeated_lines": f"WITH {REPEATED} SELECT source, signature, n FROM rp",

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import stats as ST
 from ..functions import text as T
 from ..functions.stats import column_stats
-from ..operators import assemble, chrome, columns, correct, lines, metadata, pages, paragraphs
+from ..operators import assemble, chrome, columns, correct, lines, metadata, pages, paragraphs, words
 from ..sinks import epub, markdown
 from ..sources import markdown as markdown_source
 from ..sources import ocr_tsv
 from . import adapters as A
+from .config import Config
+from .convert import from_words
 from .oracle import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,14 +208,71 @@ def syn_column_assign(spark, sf):
     return kept.groupBy("doc_id", "page_index", "column_no").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
+def _stripped(spark, sf):
+    d = A.furnished_lines(spark, sf)
+    return chrome.strip(d, chrome.exact_repeats(chrome.band_signatures(d), d.select("doc_id", "n_pages").distinct()))
+
+
 @query
 def syn_strip(spark, sf):
-    d = A.syn_lines(spark, sf).withColumns({"width_pt": F.lit(A.PAGE_WIDTH), "height_pt": F.lit(900.0)})
-    n = d.groupBy("doc_id").agg(F.count_distinct("page_index").alias("n_pages"))
-    d = d.join(n, "doc_id")
-    s = chrome.band_signatures(d)
-    repeated = chrome.exact_repeats(s, n)
-    return chrome.strip(d, repeated).groupBy("reason").agg(F.count("*").alias("n"))
+    return _stripped(spark, sf).select("doc_id", "page_index", "line_no", "reason", "shown", "printed_label")
+
+
+@query
+def strip_summary(spark, sf):
+    return chrome.dropped_summary(_stripped(spark, sf).filter("reason IS NOT NULL").select(F.col("shown").alias("text"), "reason"))
+
+
+@query
+def geometry_boxes(spark, sf):
+    d = A.table(spark, sf, "lineitem")
+    q, n = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")
+    d = G.normalised(d.select("l_orderkey", "l_linenumber", (q * 10).alias("x0"), (n * 100).alias("y0"), (n * 80).alias("x1"), (q * 12).alias("y1"), (q % 7).alias("size"), (n % 4).alias("cap"), (F.col("l_orderkey") % 900).alias("weight")))
+    top, bottom = G.band(F.col("size"), F.col("cap"))
+    return d.select(
+        "l_orderkey", "l_linenumber", "x0", "y0", "x1", "y1", G.width().alias("width"), G.height().alias("height"), G.center_x().alias("centre"), G.x_overlap(F.col("x0"), F.col("x1"), F.lit(100.0), F.lit(300.0)).alias("overlap"), G.flipped(F.lit(800.0), F.col("y0")).alias("flipped"),
+        F.round(top, 6).alias("band_top"), F.round(bottom, 6).alias("band_bottom"), G.is_bold(F.col("weight")).alias("bold"), G.page_label(F.when(F.col("l_linenumber") > 3, F.lit("iv")), F.col("l_linenumber")).alias("label"), G.in_top_band(F.lit(800.0)).alias("in_top"), G.in_bottom_band(F.lit(500.0)).alias("in_bottom"),
+    )
+
+
+@query
+def robust_stats(spark, sf):
+    d = A.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("double").alias("v"))
+    return ST.mad(d, ["l_orderkey"], "v").join(ST.typical_size(d, ["l_orderkey"], "v"), "l_orderkey").select("l_orderkey", F.round("mad", 4).alias("mad"), F.round("typical", 4).alias("typical"))
+
+
+@query
+def usable_glyphs(spark, sf):
+    d = words.with_gap_limit(words.usable_glyphs(A.name_glyphs(spark, sf)))
+    return d.select("doc_id", "glyph_no", "blank", F.round("med", 4).alias("med"), F.round("gap_limit", 4).alias("gap_limit"))
+
+
+def _decided(spark, sf):
+    d = A.table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page_index"), F.when(F.col("doc_id") % 10 == 0, 0).otherwise(F.col("n_chars")).alias("n"))
+    return d.select("doc_id", "page_index", pages.decision(F.col("n")).alias("decision"))
+
+
+@query
+def decision_totals(spark, sf):
+    return pages.decision_counts(_decided(spark, sf)).withColumnRenamed("doc_id", "source")
+
+
+@query
+def settled_pages(spark, sf):
+    d = A.table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
+    own = d.filter("page_index % 10 <> 0")
+    seen = d.filter("page_index % 3 <> 0").withColumn("text", F.when(F.col("page_index") % 2 == 0, F.concat("text", "text")).otherwise(F.expr("left(text, 5)")))
+    return pages.settled_words(_decided(spark, sf), own, seen).select(F.col("doc_id").alias("source_name"), "page_index", "source", F.length("text").alias("chars"))
+
+
+@query
+def cached_corrections(spark, sf):
+    """Which paragraphs a cache answers, and what the accepted replies make of the spans."""
+    d = A.document_lines(spark, sf).filter("trim(text) <> ''")
+    keyed = d.select("doc_id", "line_no", T.fingerprint(F.lit("prompt"), "text").alias("key"), "text")
+    cache = keyed.filter("line_no % 2 = 0").select("key", F.concat(F.lit("fixed: "), "text").alias("reply")).distinct()
+    joined = keyed.join(cache, "key", "left")
+    return joined.select("doc_id", "line_no", "key", F.col("reply").isNotNull().alias("cached"), F.coalesce("reply", "text").alias("text"))
 
 
 @query
@@ -222,8 +283,8 @@ def syn_paragraphs(spark, sf):
 
 @query
 def syn_headings(spark, sf):
-    d = paragraphs.headings(paragraphs.paragraphs(A.syn_lines(spark, sf)))
-    return d.select("doc_id", "page_index", "para_no", "n_lines", "text", "ends_sentence", "heading_level")
+    d = paragraphs.headings(paragraphs.paragraphs(A.heading_lines(spark, sf)))
+    return d.select("doc_id", "page_index", "para_no", "n_lines", "text", "starts_indented", F.coalesce("heading_level", F.lit(0)).alias("heading_level"))
 
 
 @query
@@ -231,6 +292,14 @@ def assembled_lines(spark, sf):
     return lines.words_to_lines(A.syn_words(spark, sf).drop("line_no")).select("doc_id", "page_index", "line_no", "text", "n_words")
 
 
+@query
+def converted_words(spark, sf):
+    """A whole conversion of the invented words: what each book's spans come to."""
+    w = A.syn_words(spark, sf).drop("line_no")
+    sizes = w.select("doc_id", "page_index", "width_pt", "height_pt").distinct()
+    return assemble.document_counts(from_words(w, sizes, Config()).spans)
+
+
 @query
 def cross_page_join(spark, sf):
     items, pages_ = A.wrapped_items(spark, sf)

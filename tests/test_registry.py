@@ -5,10 +5,11 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.plans import registry
 
-PYTHON = {"fuzzy_repeated_lines", "assembled_lines", "markdown_round_trip", "correction_pass"}
+PYTHON = {"converted_words", "fuzzy_repeated_lines", "assembled_lines", "markdown_round_trip", "correction_pass"}
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +36,8 @@ def test_positive_cases(spark, sf):
     q = registry.queries()
     assert q["drop_repeated_lines"](spark, sf).filter("dropped").count() and q["sentence_end_flags"](spark, sf).filter("NOT ends_sentence").count()
     assert q["suspicious_lines"](spark, sf).filter("suspicious").count() and q["continuing_pages"](spark, sf).filter("continues").count()
-    assert q["drift_reasons"](spark, sf).select("reason").distinct().count() > 5 and q["syn_headings"](spark, sf).filter("heading_level IS NOT NULL").count()
+    assert q["drift_reasons"](spark, sf).select("reason").distinct().count() > 5 and {r.heading_level for r in q["syn_headings"](spark, sf).collect()} == {0, 1, 2}
+    assert {r.reason for r in q["syn_strip"](spark, sf).collect()} == {None, "Chrome", "PageNumber", "RunningHeader"}
     assert q["correction_pass"](spark, sf).filter("accepted").count() and q["fuzzy_repeated_lines"](spark, sf).count()
 
 
@@ -91,3 +93,10 @@ def test_correction_pass_covers_all_lines(spark, sf, all_lines):
         b = registry._fix([a])[0].strip()
         why = "model returned nothing" if not b else None if a == b else drift(a, b)
         assert got[k] == (bool(b) and a != b and why is None, why)
+
+
+def test_converted_words(spark, sf):
+    q = registry.queries()
+    got = {r.doc_id: r for r in q["converted_words"](spark, sf).collect()}
+    pages = {r.doc_id: r.n for r in q["syn_words"](spark, sf).groupBy("doc_id").agg(F.count_distinct("page_index").alias("n")).collect()}
+    assert {d: r.page_breaks for d, r in got.items()} == pages and all(r.paragraphs and r.chars for r in got.values())
