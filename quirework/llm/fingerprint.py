@@ -2,9 +2,10 @@
 
 A sketch holds every five-word shingle hash below a fixed fraction of the hash
 range (lower-cased words), so sketches of parts merge by union and containment is
-estimated between texts of very unequal length. A text with words but no hash
-below the threshold keeps its smallest hash, so that it can be compared at all.
-Fewer than five words make one shingle.
+estimated between texts of very unequal length. A text of at most ``WHOLE`` shingles,
+of which too few would be left, is sketched at the fraction 1, and so keeps all;
+sketches of two fractions are compared, and merged, at the lower one. Fewer than five
+words make one shingle.
 
 Defined results: a null text is empty; empty texts have the empty sketch, alike
 to each other (1.0) and to nothing else (0.0); equal texts have equal sketches;
@@ -22,13 +23,20 @@ from .common import word_array
 
 SHINGLE_WORDS = 5
 FRACTION = 1 / 8
+#: Shingles up to which a text keeps all hashes.
+WHOLE = 64
 #: Bounds the broadcast table of range starts: at most this many groups, and a few more.
 MAX_GROUPS = 200_000
 
 
+def threshold(fraction: float = FRACTION) -> int:
+    """The largest hash that a sketch of this fraction keeps."""
+    return -(2**63) + int(2**64 * fraction) - 1
+
+
 def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION, k: int = SHINGLE_WORDS) -> DataFrame:
     """Add ``out``, the sorted array of retained hashes of column ``text``."""
-    last = -(2**63) + int(2**64 * fraction) - 1
+    last = threshold(fraction)
     words, hashes, shingles, kept = (f"{out}_{x}" for x in ("words", "hashes", "all", "kept"))
     h = F.col(hashes)
     return (
@@ -40,8 +48,8 @@ def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION,
             .when(F.size(h) > 0, F.array(F.xxhash64(F.array_join(F.col(words), " "))))
             .otherwise(F.array().cast("array<bigint>")),
         )
-        .withColumn(kept, F.filter(F.col(shingles), lambda x: x <= F.lit(last)))
-        .withColumn(out, F.when((F.size(kept) == 0) & (F.size(shingles) > 0), F.array(F.array_min(shingles))).otherwise(F.array_sort(F.array_distinct(kept))))
+        .withColumn(kept, F.when(F.size(shingles) <= WHOLE, F.col(shingles)).otherwise(F.filter(F.col(shingles), lambda x: x <= F.lit(last))))
+        .withColumn(out, F.array_sort(F.array_distinct(kept)))
         .drop(words, hashes, shingles, kept)
     )
 
@@ -50,14 +58,25 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.hex(x)), ",")
 
 
-def merged(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(a, b))
+def _alike_scaled(a: Column, b: Column, fraction: float) -> tuple[Column, Column]:
+    """Both sketches at the lower of their fractions: a hash above the threshold shows a sketch of fraction 1."""
+    last = F.lit(threshold(fraction))
+    whole = F.coalesce(F.array_max(a) > last, F.lit(False)) & F.coalesce(F.array_max(b) > last, F.lit(False))
+    at = lambda s: F.when(whole, s).otherwise(F.filter(s, lambda x: x <= last))
+    return at(a), at(b)
+
+
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch, at ``fraction``, of both texts' shingles together."""
+    last = F.lit(threshold(fraction))
+    return F.array_sort(F.filter(F.array_union(a, b), lambda x: x <= last))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Shared part of the smaller sketch."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Shared part of the smaller sketch. Two empty sketches are alike, an empty one and another aren't; equal sketches are alike even where the lower fraction leaves nothing."""
+    x, y = _alike_scaled(a, b, fraction)
+    least = F.least(F.size(x), F.size(y))
+    return F.when(a == b, F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / least)
 
 
 def with_next(docs: DataFrame, fraction: float) -> DataFrame:
@@ -98,5 +117,5 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFram
     return d.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch"), fraction).alias("near_edited"), containment(F.col("sketch"), F.col("next_sketch"), fraction).alias("near_next"),
     )
