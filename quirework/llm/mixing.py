@@ -9,7 +9,8 @@ slots join blocks by index.
 Defined results: a null text has size 0; size 0 documents, and sources without
 words, have taken 0; a null source is a source of its own, last in order; repeated
 rows are separate documents; an empty table gives no rows; extra columns are
-ignored. No block is used more than ``max_repeat`` times.
+ignored. No block is used more than ``max_repeat`` times. More than ``MAX_SOURCES``
+sources are an error, as the driver holds the table of sources.
 """
 
 from __future__ import annotations
@@ -126,7 +127,9 @@ class Mix:
         blocks, seed = self.blocks, self.seed
         first = np.cumsum(self.counts, axis=0) - self.counts
         plan = [(int(j), int(s), int(first[j, s]), int(self.counts[j, s])) for j, s in zip(*np.nonzero(self.counts))]
-        plan = self.spark.createDataFrame(plan, "shard int, src int, first long, n long").repartition("shard")
+        plan = self.spark.createDataFrame(plan, "shard int, src int, first long, n long")
+        # A count given is kept: else the few rows of the plan, which make many slots each, come to one task.
+        plan = plan.repartition(max(1, min(len(self.counts), 4 * self.spark.sparkContext.defaultParallelism)), "shard")
 
         def fill(batches):
             for pdf in batches:
