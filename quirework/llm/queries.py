@@ -82,8 +82,16 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import sharding
 
+    # Base 32 of ten hexadecimal digits at a time.
+    bits = "(('0x' || substr(digest, 10 * p + 1, 10))::BIGINT >> (35 - 5 * b)) & 31"
+    base32 = f"array_to_string(list_transform(generate_series(0, 31), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({bits.replace('p + 1', '(j // 8) + 1').replace('5 * b', '5 * (j % 8)')} AS INTEGER) + 1, 1)), '')"
     owner = ",".join(map(str, sharding.lookup_table(sharding.shard_names())))
     return {
+        "op4_warc": f"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS digest FROM pages),
+            f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+            SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {base32} AS payload_digest,
+                CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first_id THEN first_id END AS refers_to FROM f""",
         "op6_sharding": f"""
             WITH keyed AS (
                 SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents

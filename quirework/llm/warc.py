@@ -8,7 +8,7 @@ smallest page_id is the response and the others are revisits of it.
 Defined results: a null html or url is empty; of repeated page_ids each row has a
 record and the same rule holds (rows of the smallest id are all responses); null
 page_ids are responses; an empty table gives an empty archive; extra columns are
-ignored.
+ignored. Line ends in a url are written as spaces.
 """
 
 from __future__ import annotations
