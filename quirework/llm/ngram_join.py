@@ -338,7 +338,8 @@ class Join:
     def __init__(self, docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT):
         self.docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
         self.k, self.percent, self.small = k, percent, boundary(percent)
-        self.seed = 0
+        #: Whether a doc_id has several rows; then a class may have several texts.
+        self.seed, self.repeated = 0, True
 
     def _scan(self, texts: DataFrame, each, schema: str) -> DataFrame:
         """each: sets -> record batch."""
@@ -403,6 +404,7 @@ class Join:
             # Two sets with one 64-bit name: other names.
             self.seed += 1
             drop(both, firsts)
+        self.repeated = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
         top = both.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(MAX_FREQUENT).collect()
         frequent, count = np.array([r.doc_id for r in top], np.int64), np.array([r.n for r in top], np.int64)
         order = np.argsort(frequent)
@@ -523,9 +525,12 @@ class Join:
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
             yield pa.RecordBatch.from_arrays([pa.array([signature(s, seed)[0] for s in sets], pa.int64()), listed], names=["id", "elements"])
 
-        sets = save(self._scan(self._texts_of(wanted, firsts), each, "id long, elements array<long>").dropDuplicates(["id"]), "nj-sets")
-        one, two = sets.select(F.col("id").alias("id1"), F.col("elements").alias("e1")), sets.select(F.col("id").alias("id2"), F.col("elements").alias("e2"))
-        joined = pairs.join(one, F.col("u") == F.col("id1")).join(two, F.col("v") == F.col("id2"))
+        sets = self._scan(self._texts_of(wanted, firsts), each, "id long, elements array<long>")
+        sets = save(sets.dropDuplicates(["id"]) if self.repeated else sets, "nj-sets")
+        # Members go to their hub's place once; a hub's set isn't copied for each of them.
+        members = sets.select(F.col("id").alias("id2"), F.col("elements").alias("e2")).join(maybe_broadcast(pairs), F.col("id2") == F.col("v"))
+        hubs = sets.select(F.col("id").alias("id1"), F.col("elements").alias("e1")).join(maybe_broadcast(pairs.select(F.col("u").alias("hub")).distinct()), F.col("id1") == F.col("hub"), "left_semi")
+        joined = members.join(hubs, F.col("u") == F.col("id1"))
         shared = F.size(F.array_intersect("e1", "e2"))
         out = save(joined.select("u", "v", (100 * shared >= self.percent * (F.size("e1") + F.size("e2") - shared)).alias("linked")), "nj-links")
         drop(pairs, wanted, sets)
