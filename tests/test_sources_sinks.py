@@ -156,3 +156,24 @@ def test_stream(spark, tmp_path):
         convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out" / "md")).count() == expected
         (tmp_path / "in" / "b.md").write_text("# B\n\ntext")
+
+
+def test_command_line(spark, tmp_path):
+    from quirework.__main__ import crop, main
+
+    rows = ["level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"]
+    for page in (1, 2, 3):
+        rows.append(f"1\t{page}\t0\t0\t0\t0\t0\t0\t2500\t3300\t-1\t")
+        for line in range(8):
+            rows += [f"5\t{page}\t1\t1\t{line + 1}\t{i + 1}\t{200 + 300 * i}\t{600 + 80 * line}\t280\t50\t95\tword{page}" for i in range(7)]
+    (tmp_path / "scan.tsv").write_text("\n".join(rows) + "\n")
+    out = tmp_path / "out"
+    assert main([str(tmp_path / "scan.tsv"), "--out", str(out), "--format", "md,epub,json", "--pages", "1-2", "--report", "--title", "A Scan"]) == 0
+    text = (out / "scan.md").read_text()
+    assert text.count("word1") == 56 and text.count("word2") == 56 and "word3" not in text and "A Scan" in text
+    assert zipfile.ZipFile(out / "scan.epub").testzip() is None and (out / "scan.json").read_text().count("\n") == 2
+    report = (out / "report.md").read_text()
+    assert "page breaks: 2" in report and "scan.epub" in report
+    assert crop("0.1,0,0,0.05").right == 0.05
+    with pytest.raises(ValueError):
+        crop("0.6,0,0,0")
