@@ -56,8 +56,8 @@ class Walks(NamedTuple):
 TIERS = (Walks(2**31, STEPS, SAMPLED, EARLY, REPEATS), Walks(112, 28, 11, 4, 5), Walks(72, 24, 10, 4, 8))
 #: Bytes of a part of an item, as many places are first held against parts at a time.
 PART = 63
-#: Bytes of item text in one block.
-BLOCK_BYTES = 4_000_000
+#: Bytes of item text in one block; bytes of documents that are searched at a time.
+BLOCK_BYTES, SEARCHED_BYTES = 4_000_000, 1 << 21
 
 
 def repetition(r: int, tier: Walks = TIERS[0], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +334,7 @@ def _against(docs: DataFrame, rows: list, similarity: float) -> DataFrame:
         items = Items(ids, texts, similarity)
         for batch in batches:
             got = []
-            for lo, _, data, at in chunks(batch.column("text")):
+            for lo, _, data, at in chunks(batch.column("text"), SEARCHED_BYTES):
                 got += [(lo + r, i, d) for r, i, d in items.hits(*folded(data, at), similarity)]
             names = batch.column("doc_id").take(pa.array([g[0] for g in got], pa.int64()))
             lengths = [len(items.texts[i]) for _, i, _ in got]
