@@ -28,6 +28,7 @@ rows have rows of their own; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +44,7 @@ SHORT = 32
 
 
 class Walks(NamedTuple):
-    """Walks of items of at most ``longest`` folded bytes; the first ``early`` samples make a partial key."""
+    """Walks of items of at most ``longest`` folded bytes; from ``early`` samples on, every second one, walks of no item's key so far end."""
 
     longest: int
     steps: int
@@ -67,25 +68,23 @@ def repetition(r: int, tier: Walks = TIERS[0], seed: int = 7) -> tuple[np.ndarra
     return moves, np.sort(rng.choice(tier.steps, tier.sampled, replace=False))
 
 
-def walk(data: np.ndarray, starts: np.ndarray, moves: np.ndarray, sampled: np.ndarray, first: int, early: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(starts, partial keys of ``first`` samples, keys) of walks; those whose partial key isn't in the ``early`` table end early."""
-    at, key, n = starts.copy(), np.zeros(len(starts), np.uint64), 0
-    partial = key
+def walk(data: np.ndarray, starts: np.ndarray, moves: np.ndarray, sampled: np.ndarray, known: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(starts, keys by number of samples) of walks over ``data`` (bytes as int64). With ``known`` tables by number of samples, walks end where their key so far isn't in the table."""
+    at, key, keys = starts.copy(), np.zeros(len(starts), np.uint64), {}
     take = set(sampled.tolist())
     for step in range(int(sampled[-1]) + 1):
         under = data.take(at)
         if step in take:
-            key = (key + under + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key + (under + 1).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-            n += 1
-            if n == first:
-                partial = key
-                if early is not None:
-                    on = early[(key & np.uint64(len(early) - 1)).astype(np.int64)]
-                    starts, at, key, under = starts[on], at[on], key[on], under[on]
-                    partial = key
+            keys[len(keys) + 1] = key
+            table = known.get(len(keys)) if known else None
+            if table is not None:
+                on = np.flatnonzero(table.take((key & np.uint64(len(table) - 1)).view(np.int64)))
+                starts, at, key, under = starts[on], at[on], key[on], under[on]
+                keys[len(keys)] = key
         at += moves[step].take(under)
-    return starts, partial, mixed(key)
+    return starts, keys
 
 
 def edit_distance_in(pattern: bytes, text: bytes, most: int) -> tuple[int, int]:
@@ -115,22 +114,31 @@ def edit_distance_in(pattern: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
-def edit_distances_in(masks: np.ndarray, lengths: np.ndarray, which: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """edit_distance_in for many at once: pattern ``which`` (masks by byte, at most 63 bytes) and its text, padded with byte 0, which no pattern has."""
-    one = np.uint64(1)
-    m = lengths[which].astype(np.uint64)
-    full, top = (one << m) - one, one << (m - one)
-    up, down = full.copy(), np.zeros(len(which), np.uint64)
-    score = lengths[which].astype(np.int64)
-    best = score.copy()
-    for j in range(texts.shape[1]):
-        eq = masks[which, texts[:, j]]
+def pattern_masks(patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Masks by byte and lengths of patterns of at most 63 bytes, for edit_distances_in. A pattern has the highest bits; those below match all bytes, so they never count."""
+    masks, lengths = np.zeros((len(patterns), 256), np.uint64), np.array([len(t) for t in patterns], np.int64)
+    for i, t in enumerate(patterns):
+        low = 64 - len(t)
+        masks[i] = (1 << low) - 1
+        for j, c in enumerate(t):
+            masks[i, c] |= np.uint64(1 << (low + j))
+    return masks, lengths
+
+
+def edit_distances_in(masks: np.ndarray, lengths: np.ndarray, which: np.ndarray, columns: Iterable[np.ndarray]) -> np.ndarray:
+    """edit_distance_in for many at once: pattern ``which`` of pattern_masks and its text, given as columns of bytes (int64), with byte 0, which no pattern has, around it."""
+    one, last = np.uint64(1), np.uint64(63)
+    score = lengths[which]
+    up = ~np.uint64(0) << (64 - score).astype(np.uint64)
+    down, best, flat, row = np.zeros(len(which), np.uint64), score.copy(), masks.ravel(), which * 256
+    for column in columns:
+        eq = flat.take(row + column)
         diagonal = (((eq & up) + up) ^ up) | eq | down
-        plus = down | (full & ~(diagonal | up))
+        plus = down | ~(diagonal | up)
         minus = up & diagonal
-        score += ((plus & top) != 0).astype(np.int64) - ((minus & top) != 0)
-        plus, minus = plus << one & full, minus << one & full
-        up, down = minus | (full & ~(diagonal | plus)), plus & diagonal
+        score += ((plus >> last) - (minus >> last)).view(np.int64)
+        plus, minus = plus << one, minus << one
+        up, down = minus | ~(diagonal | plus), plus & diagonal
         np.minimum(best, score, out=best)
     return best
 
@@ -144,13 +152,10 @@ class ShortItems:
     def __init__(self, which: list[int], texts: list[bytes], similarity: float):
         self.which = np.array(which, np.int64)
         padded = [b" " + texts[i] + b" " for i in which]
-        self.lengths = np.array([len(t) for t in padded], np.int64)
+        self.masks, self.lengths = pattern_masks(padded)
         self.most = np.array([int((1 - similarity) * (len(t) - 2) + 1e-9) for t in padded], np.int64)
-        self.masks = np.zeros((len(padded), 256), np.uint64)
         grams: dict[int, list[tuple[int, int, int]]] = {}
         for k, t in enumerate(padded):
-            for i, c in enumerate(t):
-                self.masks[k, c] |= np.uint64(1 << i)
             cuts = np.linspace(0, len(t), self.most[k] + 2).astype(int).tolist()
             for a, b in zip(cuts[:-1], cuts[1:]):
                 q = min(b - a, 4)
@@ -196,7 +201,7 @@ class ShortItems:
                 spot = a[:, None] + np.arange(int((self.lengths[kk] + 2 * self.most[kk]).max()))
                 inside = (spot >= begin[rr][:, None]) & (spot < end[rr][:, None])
                 texts = np.where(inside, spaced[np.clip(spot, 0, len(spaced) - 1)], 0)
-                distance = edit_distances_in(self.masks, self.lengths, kk, texts)
+                distance = edit_distances_in(self.masks, self.lengths, kk, texts.T.astype(np.int64))
                 good = distance <= self.most[kk]
                 for x, y, d in zip(rr[good].tolist(), self.which[kk[good]].tolist(), distance[good].tolist()):
                     best[x, y] = min(d, best.get((x, y), d))
@@ -206,8 +211,8 @@ class ShortItems:
 class Items:
     """A block of items: folded texts, and the keys of their walks for each repetition."""
 
-    #: Places that are held against a part at a time.
-    PLACES = 10_000
+    #: Walks that go on side by side, and places that are held against a part at a time: as many as stay in the processor's cache.
+    WALKS, PLACES = 32_000, 10_000
 
     def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY):
         import pyarrow as pa
@@ -220,10 +225,8 @@ class Items:
         # Parts of items that one word of bits can hold; parts of item i are first[i] to first[i + 1].
         parts = [(k, t[k : k + PART]) for t in self.texts if len(t) >= SHORT for k in range(0, len(t), PART)]
         self.first = np.concatenate([[0], np.cumsum([-(-len(t) // PART) if len(t) >= SHORT else 0 for t in self.texts])]).astype(np.int64)
-        self.masks, self.offsets, self.lengths = np.zeros((len(parts), 256), np.uint64), np.array([k for k, _ in parts], np.int64), np.array([len(t) for _, t in parts], np.int64)
-        for i, (_, t) in enumerate(parts):
-            for j, c in enumerate(t):
-                self.masks[i, c] |= np.uint64(1 << j)
+        self.offsets = np.array([k for k, _ in parts], np.int64)
+        self.masks, self.lengths = pattern_masks([t for _, t in parts])
         self.tables = []
         for n, tier in enumerate(TIERS):
             self._add(tier, sum(t.repeats for t in TIERS[:n]))
@@ -244,14 +247,17 @@ class Items:
                 base += len(text)
         if not places:
             return
-        at, flat = np.array(places, np.int64), np.frombuffer(b"".join(joined), np.uint8)
+        at, flat = np.array(places, np.int64), np.frombuffer(b"".join(joined), np.uint8).astype(np.int64)
         for r in range(first, first + tier.repeats):
             moves, sampled = repetition(r, tier)
-            _, partial, key = walk(flat, at, moves, sampled, tier.early)
-            early = np.zeros(1 << 20, bool)
-            early[(partial & np.uint64(len(early) - 1)).astype(np.int64)] = True
+            _, by_samples = walk(flat, at, moves, sampled)
+            known = {}
+            for n in {*range(tier.early, tier.sampled, 2), tier.sampled}:
+                known[n] = np.zeros(1 << 20, bool)
+                known[n][(by_samples[n] & np.uint64(len(known[n]) - 1)).astype(np.int64)] = True
+            key = mixed(by_samples[tier.sampled])
             order = np.argsort(key)
-            self.tables.append((moves, sampled, tier.early, early, key[order], np.array(item, np.int64)[order], np.array(offset, np.int64)[order]))
+            self.tables.append((moves, sampled, known, key[order], np.array(item, np.int64)[order], np.array(offset, np.int64)[order]))
 
     def _possible(self, data: np.ndarray, at: np.ndarray, found: np.ndarray, similarity: float) -> np.ndarray:
         """Of places (row, item, place) those where the least edits of the item's parts, each near its place, add up to no more than the item may have. Misses no hit: a hit's edits are edits of its parts."""
@@ -266,22 +272,23 @@ class Items:
                 row, item, place = found[:, k]
                 part = self.first[item] + j
                 slack = full[item] // 4 + 2
-                begin = place + self.offsets[part] - slack
-                spot = begin[:, None] + np.arange(int((self.lengths[part] + 2 * slack).max()))
-                texts = np.where((spot >= at[row][:, None]) & (spot < at[row + 1][:, None]), data.take(spot, mode="clip"), 0)
-                spent[k] += edit_distances_in(self.masks, self.lengths, part, texts)
+                begin, lo_, hi_ = place + self.offsets[part] - slack, at[row], at[row + 1]
+                spots = (begin + c for c in range(int((self.lengths[part] + 2 * slack).max())))
+                columns = (data.take(spot, mode="clip") * ((spot >= lo_) & (spot < hi_)) for spot in spots)
+                spent[k] += edit_distances_in(self.masks, self.lengths, part, columns)
             left = left[spent[left] <= most[left]]
         return found[:, left]
 
     def hits(self, data: np.ndarray, at: np.ndarray, similarity: float) -> list[tuple[int, int, int]]:
         """(row, item, distance) of the folded texts of a chunk."""
-        padded = np.concatenate([data, np.full(STEPS + 2, 0x20, np.uint8)])
+        padded = np.concatenate([data, np.full(STEPS + 2, 0x20, np.uint8)]).astype(np.int64)
         starts = np.flatnonzero((padded[: len(data)] != 0x20) & (np.concatenate([[0x20], data[:-1]]) == 0x20)) if len(data) else np.zeros(0, np.int64)
         found = []
-        for moves, sampled, first, early, keys, items, offsets in self.tables:
+        for moves, sampled, known, keys, items, offsets in self.tables:
             if not len(starts):
                 break
-            own, _, key = walk(padded, starts, moves, sampled, first, early)
+            ends = [walk(padded, starts[lo : lo + self.WALKS], moves, sampled, known) for lo in range(0, len(starts), self.WALKS)]
+            own, key = np.concatenate([e for e, _ in ends]), mixed(np.concatenate([by_samples[len(sampled)] for _, by_samples in ends]))
             lo = np.searchsorted(keys, key)
             some = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
             times = np.searchsorted(keys, key[some], side="right") - lo[some]
@@ -293,7 +300,7 @@ class Items:
             all_ = np.concatenate(found, axis=1)
             all_ = all_[:, np.lexsort((all_[2], all_[1], all_[0]))]
             all_ = all_[:, np.concatenate([[True], (all_[:, 1:] != all_[:, :-1]).any(axis=0)])[: all_.shape[1]]]
-            row, item, place = self._possible(data, at, all_, similarity)
+            row, item, place = self._possible(padded, at, all_, similarity)
             # Windows of one item that overlap are one.
             slack = np.array([len(t) // 4 + 2 for t in self.texts], np.int64)[item]
             new = np.ones(len(place), bool)
