@@ -428,7 +428,7 @@ class Join:
         return self.docs.join(maybe_broadcast(ids), F.col("doc_id") == F.col("first"), "left_semi")
 
     def _shared(self, rows: DataFrame, firsts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-        """key, node, what (size, position and kind of key), m, sketch: the lists of classes with possible links. Entries are shuffled once."""
+        """key, node, what (size, position and kind of key), m: the lists of classes with possible links. Entries are shuffled once."""
         percent, small, seed = self.percent, self.small, self.seed
 
         def each(sets):
@@ -445,23 +445,27 @@ class Join:
         one = firsts.select("node", F.col("first").alias("first_"))
         entries = self._scan(self.docs.join(maybe_broadcast(one.select("first_").distinct()), F.col("doc_id") == F.col("first_"), "left_semi"), each, "key long, node long, what long")
         entries = entries.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: fitting(batches, percent), "key long, node long, what long")
-        lists = entries
         # A text comes once from each row of its doc_id.
-        lists = save(lists.dropDuplicates(["key", "node", "what"]), "nj-distinct")
+        lists = save(entries.dropDuplicates(["key", "node", "what"]) if self.repeated else entries, "nj-distinct")
         counted = lists.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1")
-        sketched = self._sketched(counted, rows, one, "small").withColumns({"cell": F.lit(0).cast("long"), "label": F.col("node"), "failed": F.lit(None).cast("array<long>")})
+        sketched = self._sketched(counted, self._brought(counted, rows, one, "small")).withColumns({"cell": F.lit(0).cast("long"), "label": F.col("node"), "failed": F.lit(None).cast("array<long>")})
         short = self._cells(sketched.filter(F.col("m") <= CELL), "members").select("key", F.col("u").alias("node"), F.col("v").alias("what"))
         stay = save(short.unionByName(counted.filter(F.col("m") > CELL).select("key", "node", "what")), "nj-stay")
-        counted = stay.withColumn("m", F.count("*").over(Window.partitionBy("key")))
-        out = save(self._sketched(counted, rows, one, "large"), "nj-shared")
+        # Lists of the same classes become one, in which a class has its foremost position: what fits in any of them fits there.
+        of = Window.partitionBy("key")
+        named = stay.withColumn("key", F.xxhash64(F.bit_xor(F.xxhash64("node")).over(of), F.count("*").over(of)))
+        out = save(named.groupBy("key", "node").agg(F.min("what").alias("what")).withColumn("m", F.count("*").over(of)), "nj-shared")
         drop(lists, stay)
         return out
 
-    def _sketched(self, entries: DataFrame, rows: DataFrame, one: DataFrame, size: str) -> DataFrame:
+    def _brought(self, entries: DataFrame, rows: DataFrame, one: DataFrame, size: str) -> DataFrame:
+        """node_, sketch: of each class in the entries once."""
         brought = rows.filter("n > 0").select(F.col("node").alias("node_"), F.col("doc_id").alias("id_"), F.col(size).alias("sketch"))
         brought = brought.join(one.withColumnRenamed("node", "own_"), (F.col("node_") == F.col("own_")) & (F.col("id_") == F.col("first_")))
-        brought = brought.join(entries.select("node").distinct(), F.col("node_") == F.col("node"), "left_semi").select("node_", "sketch").dropDuplicates(["node_"])
-        return entries.join(brought, F.col("node") == F.col("node_")).drop("node_")
+        return brought.join(entries.select("node").distinct(), F.col("node_") == F.col("node"), "left_semi").select("node_", "sketch").dropDuplicates(["node_"])
+
+    def _sketched(self, entries: DataFrame, sketches_: DataFrame) -> DataFrame:
+        return entries.join(sketches_, F.col("node") == F.col("node_")).drop("node_")
 
     def _cells(self, entries: DataFrame, give: str) -> DataFrame:
         percent = self.percent
@@ -471,11 +475,12 @@ class Join:
     def _links(self, rows: DataFrame, firsts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
         """Verified links (u, v) of classes that connect all that links connect."""
         shared = self._shared(rows, firsts, frequent, rank)
+        large = save(self._brought(shared, rows, firsts.select("node", F.col("first").alias("first_")), "large"), "nj-large")
         spark = shared.sparkSession
         long_ = not shared.filter(F.col("m") > CELL).isEmpty()
         links = spark.createDataFrame([], "u long, v long")
         failed = spark.createDataFrame([], "u long, v long")
-        edges = None
+        edges = labelled = None
         for r in range(1, ROUNDS + 1):
             whole, every = r > APART or not long_, r == ROUNDS
             now = shared
@@ -488,7 +493,10 @@ class Join:
                 found = components(links).withColumnRenamed("node", "node_")
                 now = now.join(found, F.col("node") == F.col("node_"), "left").withColumn("label", F.coalesce("component", "node")).drop("node_", "component")
                 tried = failed.groupBy(F.col("v").alias("node_")).agg(F.collect_set("u").alias("failed"))
-                now = now.join(tried, F.col("node") == F.col("node_"), "left").drop("node_")
+                labelled = save(now.join(tried, F.col("node") == F.col("node_"), "left").drop("node_"), "nj-labelled")
+                # Lists of one component are done too: they go before the sketches come.
+                several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("key").alias("key_"))
+                now = labelled.join(several, F.col("key") == F.col("key_"), "left_semi")
             else:
                 now = now.withColumns({"label": F.col("node"), "failed": F.lit(None).cast("array<long>")})
             blocks = F.ceil(F.col("m") / CELL)
@@ -498,9 +506,9 @@ class Join:
                 now = now.withColumns({"own": own, "blocks": blocks}).withColumn("other", other).withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
             else:
                 now = now.withColumn("cell", own)
-            fresh = save(self._cells(now, "every" if every else "forest"), "nj-edges")
+            fresh = save(self._cells(self._sketched(now, large), "every" if every else "forest"), "nj-edges")
             if edges is not None:
-                drop(edges)
+                drop(edges, labelled)
             edges = fresh
             if whole and edges.isEmpty():
                 break
@@ -509,7 +517,7 @@ class Join:
             good, bad = judged.filter("linked").select("u", "v"), judged.filter("NOT linked").select("u", "v")
             links = links.unionByName(good)
             failed = failed.unionByName(bad)
-        drop(shared, edges)
+        drop(shared, large, edges)
         return links
 
     def _verified(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
