@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,21 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(each: Callable) -> Callable:
+    """``each`` for ``mapInArrow``, after which the Python worker gives freed memory back to the system: Spark keeps workers for later tasks."""
+
+    def run(batches):
+        yield from each(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def maybe_broadcast(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``most_rows`` (narrow) rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

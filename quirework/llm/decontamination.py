@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, save
+from .common import maybe_broadcast, save, tidy
 from .numtext import chunks, folded, mixed, raw
 
 SIMILARITY = 0.8
@@ -350,7 +350,7 @@ def _against(docs: DataFrame, rows: list, similarity: float) -> DataFrame:
                 names=["doc_id", "item_id", "item_bytes", "distance", "similarity"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, item_bytes int, distance int, similarity double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(search), "doc_id long, item_id long, item_bytes int, distance int, similarity double")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

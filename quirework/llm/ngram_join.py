@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import drop, maybe_broadcast, save
+from .common import drop, maybe_broadcast, save, tidy
 from .components import components
 from .numtext import LOWER, chunks, cumulative, mixed, span_hashes, word_spans
 
@@ -350,7 +350,7 @@ class Join:
                 for _, sets in shingle_sets(batch.column("text"), k):
                     yield from each(sets)
 
-        return texts.select("text").mapInArrow(run, schema)
+        return texts.select("text").mapInArrow(tidy(run), schema)
 
     def classes(self) -> DataFrame:
         """(doc_id, n, node, check: the set's signature, small and large sketch) of every row, and of kind 1 the elements that tasks found frequent (doc_id) and how often (n)."""
@@ -390,7 +390,7 @@ class Join:
                 zero = np.zeros(len(u), np.int64)
                 yield made(pa.array(u), n, zero, zero, [(None, None)] * len(u), 1)
 
-        return save(self.docs.mapInArrow(run, "doc_id long, n long, node long, check long, small binary, large binary, kind byte"), "nj-classes")
+        return save(self.docs.mapInArrow(tidy(run), "doc_id long, n long, node long, check long, small binary, large binary, kind byte"), "nj-classes")
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
@@ -444,7 +444,7 @@ class Join:
 
         one = firsts.select("node", F.col("first").alias("first_"))
         entries = self._scan(self.docs.join(maybe_broadcast(one.select("first_").distinct()), F.col("doc_id") == F.col("first_"), "left_semi"), each, "key long, node long, what long")
-        entries = entries.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: fitting(batches, percent), "key long, node long, what long")
+        entries = entries.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda batches: fitting(batches, percent)), "key long, node long, what long")
         # A text comes once from each row of its doc_id.
         lists = save(entries.dropDuplicates(["key", "node", "what"]) if self.repeated else entries, "nj-distinct")
         counted = lists.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1")
@@ -470,7 +470,7 @@ class Join:
     def _cells(self, entries: DataFrame, give: str) -> DataFrame:
         percent = self.percent
         dealt = entries.select("key", F.col("cell").cast("long").alias("cell"), "node", "what", "sketch", "label", "failed").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
-        return dealt.mapInArrow(lambda batches: possible_links(batches, percent, give), "key long, u long, v long")
+        return dealt.mapInArrow(tidy(lambda batches: possible_links(batches, percent, give)), "key long, u long, v long")
 
     def _links(self, rows: DataFrame, firsts: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
         """Verified links (u, v) of classes that connect all that links connect."""

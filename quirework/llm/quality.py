@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, save
+from .common import maybe_broadcast, save, tidy
 from .numtext import chunks
 
 ORDER = 5
@@ -81,7 +81,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
             for a in range(0, len(k), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 200_000]), pa.array(c[a : a + 200_000])], names=["g", "c"])
 
-    return texts.select("text").mapInArrow(each, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(tidy(each), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -213,7 +213,7 @@ def _score_shard(docs: DataFrame, shared, lo: int, hi: int) -> DataFrame:
                 mark[a:b] = [int.from_bytes(hashlib.blake2b(data[x:y].tobytes(), digest_size=8).digest(), "big", signed=True) for x, y in zip(at[:-1], at[1:])] if (lo, hi) != (0, 0xFFFF) else 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string()), pa.array(size), pa.array(nats), pa.array(mark)], names=["doc_id", "lang", "n_bytes", "nats", "text_hash"])
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(each, "doc_id long, lang string, n_bytes long, nats double, text_hash long")
+    return docs.select("doc_id", "lang", "text").mapInArrow(tidy(each), "doc_id long, lang string, n_bytes long, nats double, text_hash long")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
