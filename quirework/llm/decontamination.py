@@ -213,6 +213,8 @@ class Items:
 
     #: Walks that go on side by side, and places that are held against a part at a time: as many as stay in the processor's cache.
     WALKS, PLACES = 32_000, 10_000
+    #: Places of a table of known keys, for each key.
+    SPARE = 32
 
     def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY):
         import pyarrow as pa
@@ -252,8 +254,10 @@ class Items:
             moves, sampled = repetition(r, tier)
             _, by_samples = walk(flat, at, moves, sampled)
             known = {}
+            # Places of a table: as many as leave few walks of other texts, but no more than the keys need.
+            places_known = min(1 << 20, 1 << (self.SPARE * len(at) - 1).bit_length())
             for n in {*range(tier.early, tier.sampled, 2), tier.sampled}:
-                known[n] = np.zeros(1 << 20, bool)
+                known[n] = np.zeros(places_known, bool)
                 known[n][(by_samples[n] & np.uint64(len(known[n]) - 1)).astype(np.int64)] = True
             key = mixed(by_samples[tier.sampled])
             order = np.argsort(key)
@@ -287,8 +291,12 @@ class Items:
         for moves, sampled, known, keys, items, offsets in self.tables:
             if not len(starts):
                 break
-            ends = [walk(padded, starts[lo : lo + self.WALKS], moves, sampled, known) for lo in range(0, len(starts), self.WALKS)]
-            own, key = np.concatenate([e for e, _ in ends]), mixed(np.concatenate([by_samples[len(sampled)] for _, by_samples in ends]))
+            # Of each block of walks only the ends are kept, not the keys on the way.
+            ends = []
+            for lo in range(0, len(starts), self.WALKS):
+                own, by_samples = walk(padded, starts[lo : lo + self.WALKS], moves, sampled, known)
+                ends.append((own, by_samples[len(sampled)]))
+            own, key = np.concatenate([e for e, _ in ends]), mixed(np.concatenate([k for _, k in ends]))
             lo = np.searchsorted(keys, key)
             some = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
             times = np.searchsorted(keys, key[some], side="right") - lo[some]
